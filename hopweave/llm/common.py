@@ -34,7 +34,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def running_total(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
-    """Adds the exclusive running sum of value over the whole table in the given order, which must have no ties.
+    """Adds the exclusive running sum of value over the whole table in the given order. Rows that tie take any order.
 
     The rows are range-partitioned and each range is summed alone, then one sum a range is carried over; no
     task sees more than its range. The broadcast table has one row a range. df should be cheap to read twice.
@@ -43,5 +43,5 @@ def running_total(df: DataFrame, order: list[str], value: str, name: str) -> Dat
     ranged = staged(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), name)
     sums = ranged.groupBy("_range").agg(F.sum(value).alias("_sum"))
     starts = sums.select("_range", (F.sum("_sum").over(Window.orderBy("_range")) - F.col("_sum")).alias("_start"))
-    inside = F.sum(value).over(Window.partitionBy("_range").orderBy(*order)) - F.col(value)
+    inside = F.sum(value).over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col(value)
     return ranged.join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + inside).drop("_range", "_start")
