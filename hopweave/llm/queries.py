@@ -12,6 +12,7 @@ from .exact_dedup import exact_dedup
 from .language_id import language_id
 from .license_scan import scan
 from .mixing import mix
+from .near_dedup import near_dedup
 from .sharding import shard
 
 
@@ -33,6 +34,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_documents(spark, sf_dir))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(_documents(spark, sf_dir), width=4)
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_documents(spark, sf_dir))
 
@@ -50,7 +55,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_chat_format, op4_sharding, op7_license_scan, op8_mixing, op9_language_id, op10_bpe)}
+    return {f.__name__: f for f in (op1_exact_dedup, op3_chat_format, op4_sharding, op5_near_dedup, op7_license_scan, op8_mixing, op9_language_id, op10_bpe)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
