@@ -11,6 +11,7 @@ from .chat_format import rotate
 from .exact_dedup import exact_dedup
 from .language_id import language_id
 from .license_scan import scan
+from .lm_score import lm_score
 from .mixing import mix
 from .near_dedup import near_dedup
 from .sharding import shard
@@ -38,6 +39,10 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_documents(spark, sf_dir), width=4)
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(_documents(spark, sf_dir))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_documents(spark, sf_dir))
 
@@ -55,7 +60,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_chat_format, op4_sharding, op5_near_dedup, op7_license_scan, op8_mixing, op9_language_id, op10_bpe)}
+    return {f.__name__: f for f in (op1_exact_dedup, op3_chat_format, op4_sharding, op5_near_dedup, op6_lm_score, op7_license_scan, op8_mixing, op9_language_id, op10_bpe)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
