@@ -217,7 +217,8 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, keep_ids: bool = True) -> D
     """doc_id, n_tokens, ids (as text, decimal, one space between; null unless keep_ids), decoded, and sha256 of both.
 
     A null text counts as empty and gives no ids. Every row gives a row, repeated ones too; a null doc_id is carried on. Empty tables
-    give no rows. Texts of any length are encoded whole. Other columns are not read. Nothing is shuffled.
+    give no rows. Texts of any length are encoded whole. Other columns are not read. Nothing is shuffled. Characters that Unicode has
+    assigned since version 15.1 may be classed otherwise than the file's own library does.
     """
     model = docs.sparkSession.sparkContext.broadcast(load(tokenizer_path))
     names = ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")

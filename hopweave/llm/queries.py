@@ -15,6 +15,7 @@ from .lm_score import lm_score
 from .mixing import mix
 from .near_dedup import near_dedup
 from .sharding import shard
+from .topk_search import topk_search
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +26,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir))
 
 
+def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search(_documents(spark, sf_dir)).withColumn("score", F.round("score", 4))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rotate(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     spans = F.array_join(F.transform("masks", lambda m: F.concat_ws("-", m["start"].cast("string"), m["end"].cast("string"))), ",")
@@ -60,7 +65,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_chat_format, op4_sharding, op5_near_dedup, op6_lm_score, op7_license_scan, op8_mixing, op9_language_id, op10_bpe)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_topk_search, op3_chat_format, op4_sharding, op5_near_dedup, op6_lm_score, op7_license_scan, op8_mixing, op9_language_id, op10_bpe)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -73,6 +78,17 @@ def oracle_sql() -> dict[str, str]:
             select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
                 doc_id = max(doc_id) over (partition by t) as kept, sha256(t) as text_sha256
             from d""",
+        "op2_topk_search": f"""
+            with d as (select doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') as w from documents),
+            one as (select count(*) as n, avg(len(w)) as mean from d),
+            t as (select doc_id, len(w) as size, unnest(w) as word from d),
+            p as (select doc_id, size, word, count(*) as tf from t group by all),
+            f as (select word, count(*) as df from p group by word),
+            s as (
+                select q.doc_id as query_id, p.doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))) as score
+                from (select distinct doc_id, word from p where doc_id % 50 = 0) q join p on p.word = q.word and p.doc_id <> q.doc_id join f on f.word = q.word, one group by all
+            ), r as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from s)
+            select query_id, rank, doc_id, round(score, 4) as score from r where rank <= 10""",
         "op3_chat_format": """
             with r as (
                 select conv_id, turn, coalesce(role, 'unknown') as role, role is null as nameless, coalesce(text, '') as text,
