@@ -1,0 +1 @@
+"""Predicates and column functions."""

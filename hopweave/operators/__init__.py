@@ -1,0 +1 @@
+"""Steps on graphs."""

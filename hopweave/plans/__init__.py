@@ -1,0 +1 @@
+"""Whole queries, their registry, and running many of them."""

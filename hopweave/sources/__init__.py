@@ -1,0 +1 @@
+"""Graphs and parameters from tables and files, and results to files."""

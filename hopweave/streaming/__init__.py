@@ -1,0 +1 @@
+"""Empty: the engine answers questions about a graph at rest. No stream, window or watermark operator belongs to its set."""
