@@ -1,8 +1,23 @@
 """Elias-Fano sequences: sorted integers in about 2 + log2(universe / n) bits each, searched without decoding."""
 
+import mmap
+import tempfile
+
 import numpy as np
 
 
+def mapped(arrays: list[np.ndarray]) -> list[np.ndarray]:
+    """The arrays as read-only views of a memory-mapped temporary file, which goes with the last view."""
+    with tempfile.TemporaryFile() as file:
+        at = []
+        for a in arrays:
+            at.append(file.tell())
+            file.write(a.tobytes() + bytes(8 - a.nbytes % 8))
+        file.flush()
+        view = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
+    return [np.frombuffer(view, a.dtype, a.size, start) for a, start in zip(arrays, at, strict=True)]
+
+
 class EliasFano:
     """Non-decreasing uint64 values below universe. Low bits are packed one after another; high bits are in unary."""
 
@@ -12,8 +27,9 @@ class EliasFano:
         bits = np.uint64(self.low_bits)
         offset = np.arange(self.n, dtype=np.uint64) * bits
         self.low = np.zeros(int(self.n * self.low_bits) // 64 + 2, np.uint64)
+        self.mask = np.uint64((1 << self.low_bits) - 1)
         if self.low_bits:
-            part = values & ((np.uint64(1) << bits) - np.uint64(1))
+            part = values & self.mask
             word, shift = offset >> np.uint64(6), offset & np.uint64(63)
             np.bitwise_or.at(self.low, word, part << shift)
             spills = shift + bits > np.uint64(64)
@@ -31,7 +47,7 @@ class EliasFano:
             ones = np.flatnonzero(np.unpackbits(self.high))
             high = ones - np.arange(len(ones))
             count = np.bincount(high, minlength=1)
-            self._starts = np.concatenate([[0], np.cumsum(count)])
+            self._starts = np.concatenate([[0], np.cumsum(count)]).astype(np.int32 if self.n < 1 << 31 else np.int64)
         return self._starts
 
     def low_of(self, at: np.ndarray) -> np.ndarray:
@@ -43,18 +59,17 @@ class EliasFano:
         found = self.low[word] >> shift
         over = shift + bits > np.uint64(64)
         found[over] |= self.low[word[over] + np.uint64(1)] << (np.uint64(64) - shift[over])
-        return found & ((np.uint64(1) << bits) - np.uint64(1))
+        return found & self.mask
 
     def successor(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The index of the first value that isn't below each wanted one (n if there is none), and whether the two are equal."""
         starts = self.starts()
         high = np.minimum(wanted >> np.uint64(self.low_bits), np.uint64(len(starts) - 1)).astype(np.int64)
         beyond = high == len(starts) - 1
-        low = wanted & ((np.uint64(1) << np.uint64(self.low_bits)) - np.uint64(1))
-        start, end = starts[high], starts[np.minimum(high + 1, len(starts) - 1)].copy()
+        low = wanted & self.mask
+        start, end = starts[high].astype(np.int64), starts[np.minimum(high + 1, len(starts) - 1)].astype(np.int64)
         stop = end.copy()
         open_ = np.flatnonzero(start < end)
-        start = start.copy()
         while len(open_):  # binary search among the values of the same high part
             middle = (start[open_] + end[open_]) >> 1
             less = self.low_of(middle) < low[open_]

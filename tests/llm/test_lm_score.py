@@ -58,8 +58,11 @@ def test_like_brute_force(spark):
 
 def test_many_chunks_and_shards_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(lm, "CHUNK", 20_000)
-    monkeypatch.setattr(lm, "SHARD", 4_000)
+    monkeypatch.setattr(lm, "SHARD", 300)
     data = rows(3)
+    hot = lm.hot_contexts(table(spark, data), 100)
+    assert len(hot.words) > 20 and hot.parts.min() >= 2 and len(set(hot.keys.tolist())) == hot.parts.sum()
+    assert hot.owner(np.append(hot.keys, [np.uint64(5)])).tolist() == [*hot.of.tolist(), -1]
     same(sorted(tuples(lm.lm_score(table(spark, data))), key=key), sorted(brute(data), key=key))
 
 
