@@ -115,12 +115,12 @@ def pack(sizes: list[int], shards: int, total: int) -> tuple[list[int], list[int
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size (UTF-8 bytes and 16), text_crc32, law (`bytes`), shard, slot (gapless from 0 in each shard) and grown_shard (null) of every row.
 
-    Rows of equal text stay together, and so do those of null text, which are a group apart from empty text. A group larger than a fair share has a shard to itself as far as there are enough.
+    Rows of equal text stay together; a null text counts as empty. A group larger than a fair share has a shard to itself as far as there are enough.
     Repeated rows and equal or null ids have slots of their own. Empty tables give no rows. Other columns are not read.
     """
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
-    key = F.coalesce(F.unhex(F.sha2("text", 256)), F.lit(b""))
+    key = F.unhex(F.sha2(text, 256))
     rows = staged(docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), key.alias("_key")), "shard-rows")
     groups = staged(rows.groupBy("_key").agg(F.sum("size").alias("_bytes")), "shard-groups")
     total = groups.agg(F.sum("_bytes")).first()[0] or 0

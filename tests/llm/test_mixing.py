@@ -54,8 +54,8 @@ def test_reruns_agree_and_rows_come_by_position(spark):
 def test_schedules_shift_over_time(spark):
     """The first source's weight falls with time, the third's rises."""
     data = [(i, "w " * 10, f"s{i % 3}", f"s{i % 3}", None) for i in range(3000)]
-    found = mix(table(spark, data, extra=False)).where("position is not null").collect()
-    early = lambda s: sum(r["position"] < 0.5 for r in found if r["source"] == s) / sum(1 for r in found if r["source"] == s)
+    found = [(r["source"], p) for r in mix(table(spark, data, extra=False)).collect() for p in (r["position"], r["again"]) if p is not None]
+    early = lambda s: sum(p < 0.5 for source, p in found if source == s) / sum(source == s for source, _ in found)
     assert early("s0") > early("s1") > early("s2")
 
 
