@@ -43,7 +43,7 @@ class WordHashes(dict):
     """64-bit hashes of words; starts anew when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         self[word] = found = xxhash.xxh3_64_intdigest(word)
         return found

@@ -1,14 +1,15 @@
 """Exact top-k search by BM25 with an inverted index and block-max WAND pruning.
 
-Documents are dealt to shards of bounded size. A shard is one self-contained row of flat arrays on shared files: its words' hashes, a
-posting list for each, and the lengths and ids of its documents, which lie in an order that puts like ones side by side. Document frequencies, the number of documents and their mean
+Documents are dealt to shards of bounded size, like ones together. A shard is one self-contained row of flat arrays on shared files: its words' hashes, a
+posting list for each, and the lengths and ids of its documents, again with like ones side by side. Document frequencies, the number of documents and their mean
 length are added up over all shards, so a shard scores as one index over everything would, and its best k merge exactly.
 
-Within a shard the lists of rare words are added up first. The lists of common words follow by falling upper bound, in steps, on those blocks of documents only whose
+A query first meets the shard of its own kind, then a few others, then four times as many, and so on. The k-th best score so far is the floor for the shards to come: one whose
+words' upper bounds together can't reach it is passed by, and others return only what reaches it. Within a shard the lists of rare words are added up first. The lists of common words follow by falling upper bound, in steps, on those documents only whose
 sum so far, plus the block maxima of the lists still to come, can reach the k-th best score; the lists behind the pivot, whose bounds together can't, are looked up for the last
 candidates alone. Final scores are computed in double precision, word by word in one fixed order, so equal texts tie exactly.
 
-Queries come in blocks of bounded size, each broadcast to all shards in turn.
+Queries come in blocks of bounded size, each broadcast to the shards in turn.
 """
 
 import numpy as np
@@ -22,17 +23,21 @@ from .near_dedup import WordHashes
 K = 10
 K1, B = 1.2, 0.75
 #: Bytes of text in a shard, words of all queries in a block, documents in a block of a shard: they bound a task's memory and what is broadcast.
-SHARD = 32 << 20
+SHARD = 24 << 20
 QUERY_WORDS = 2_000_000
 BLOCK = 32
 #: A word is common in a shard if more than one document in so many has it.
 COMMON = 16
-#: Common lists that are added up in one step, and the number of words that documents are ordered by.
+#: Common lists that are added up in the first step, and the number of words that documents are ordered by.
 STEP, ORDER = 8, 24
+#: Documents that the dealing of documents to shards is fitted on, for each shard and in all. It has no influence on results.
+SAMPLE, SAMPLES = 100, 200_000
+#: Shards in the first round after a query's own; each round has four times as many.
+FIRST = 4
 #: Bounds are in single precision; this makes up for their rounding.
 SLACK = 1 + 1e-4
 
-_INDEX = "words binary, starts binary, docs binary, tf binary, lengths binary, ids binary"
+_INDEX = "shard int, words binary, starts binary, docs binary, tf binary, lengths binary, ids binary"
 _U64 = np.uint64
 
 
@@ -41,14 +46,14 @@ def word_hashes(text: str | None, seen: WordHashes) -> np.ndarray:
     return np.fromiter(map(seen.__getitem__, words), _U64, len(words))
 
 
-def build_shard(hashes: list[np.ndarray], ids: list[int | None]) -> dict[str, bytes]:
-    """The arrays of one shard. ids: -1 stands for a null id, which no query finds."""
-    found = [np.unique(h, return_counts=True) for h in hashes]
+def build_shard(found: list[tuple[np.ndarray, np.ndarray]], ids: list[int | None]) -> dict[str, bytes]:
+    """The arrays of one shard from each document's distinct words and their counts. ids: null ids become -1, which no query finds."""
     sizes = np.array([len(w) for w, _ in found], np.int64)
     word = np.concatenate([w for w, _ in found]) if found else np.empty(0, _U64)
     tf = np.concatenate([c for _, c in found]).astype(np.int32) if found else np.empty(0, np.int32)
     doc = np.repeat(np.arange(len(found), dtype=np.int32), sizes)
     words, at, df = np.unique(word, return_inverse=True, return_counts=True)
+    del word
     # documents in order of which of the most frequent words they have: like ones come together, which keeps block maxima low
     rank = np.full(len(words), ORDER, np.int64)
     top = np.argsort(-df, kind="stable")[:ORDER]
@@ -56,7 +61,7 @@ def build_shard(hashes: list[np.ndarray], ids: list[int | None]) -> dict[str, by
     has = np.zeros(len(found), np.int64)
     hit = rank[at] < ORDER
     np.add.at(has, doc[hit], np.int64(1) << (ORDER - 1 - rank[at][hit]))
-    lengths = np.array([len(h) for h in hashes], np.int64)
+    lengths = np.array([c.sum() for _, c in found], np.int64)
     order = np.lexsort((lengths, has))
     place = np.empty(len(order), np.int32)
     place[order] = np.arange(len(order), dtype=np.int32)
@@ -82,6 +87,8 @@ class Shard:
         known = self.words[at] == vocabulary if len(self.words) else np.zeros(len(vocabulary), bool)
         self.begin = np.where(known, self.starts[at], 0)
         self.end = np.where(known, self.starts[np.minimum(at + 1, len(self.starts) - 1)], 0)
+        most = np.maximum.reduceat(self.impact, self.starts[:-1]) if len(self.words) else np.zeros(1, np.float32)
+        self.limit = np.where(known, most[at], 0)  # of each word's impact here
         # common words have a dense row of impacts and one of block maxima
         self.blocks = -(-self.n // BLOCK)
         common = np.flatnonzero((self.end - self.begin) * COMMON > self.n)
@@ -92,7 +99,7 @@ class Shard:
             part = slice(self.begin[v], self.end[v])
             self.dense[r, self.docs[part]] = self.impact[part]
         self.most = self.dense.reshape(len(common), self.blocks, BLOCK).max(axis=2) if self.n else np.zeros((0, 0), np.float32)
-        self.bound = self.most.max(axis=1, initial=0)
+        self.bound = self.limit[common].astype(np.float32)
         self.by_id = np.argsort(self.ids, kind="stable")
         self.sorted_ids = self.ids[self.by_id]
         self.nameless = np.flatnonzero(self.ids < 0)
@@ -108,7 +115,7 @@ class Shard:
         """(score, id) of the best k documents, of those that reach floor. words: places in the vocabulary, in rising order."""
         here = self.end[words] > self.begin[words]
         words, weight = words[here], weight[here]
-        if not len(words):
+        if not len(words) or weight @ self.limit[words] * SLACK < floor:
             return []
         rare = self.row[words] < 0
         at, of = self.entries(words[rare])
@@ -121,29 +128,28 @@ class Shard:
         rows, factor = rows[order], factor[order]
         rest = np.append(np.cumsum((factor * self.bound[rows])[::-1])[::-1], 0)
         theta = max(floor, _kth(score, k))
-        live, i = None, 0  # documents that are still in question; at first all
-        while i < len(rows) and rest[i] * SLACK >= theta or live is None:
-            most = (factor[i:] @ self.most[rows[i:]]) * SLACK  # of each block, what the lists to come can add
-            if live is None:
-                reach = score.reshape(self.blocks, BLOCK).max(axis=1) + most >= theta
-                live = (np.flatnonzero(reach)[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-                score = score[live]
+        most = (factor @ self.most[rows]) * SLACK  # of each block, what the lists to come can add
+        reach = score.reshape(self.blocks, BLOCK).max(axis=1) + most >= theta
+        live = (np.flatnonzero(reach)[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        score = score[live]
+        i, step = 0, STEP
+        while i < len(rows) and rest[i] * SLACK >= theta:
             keep = score * SLACK + most[live // BLOCK] >= theta
-            if 2 * np.count_nonzero(keep) < len(keep):
+            if 4 * np.count_nonzero(keep) < 3 * len(keep):
                 live, score = live[keep], score[keep]
             if not len(live):
                 return []
-            step = rows[i : i + STEP]
-            if len(step):
-                score = score + factor[i : i + STEP] @ (self.dense[step][:, live] if len(live) < self.dense.shape[1] else self.dense[step])
-            i += STEP
+            now = rows[i : i + step]
+            score = score + factor[i : i + step] @ (self.dense[np.ix_(now, live)] if 2 * len(live) < self.dense.shape[1] else self.dense[now][:, live])
+            i, step = i + step, 2 * step
             theta = max(theta, _kth(score, k))
+            most = (factor[i:] @ self.most[rows[i:]]) * SLACK
         keep = (score + rest[min(i, len(rows))]) * SLACK >= theta
         live, score = live[keep], score[keep]
         if i < len(rows):  # behind the pivot: block maxima, then the rest
-            keep = (score + factor[i:] @ self.most[rows[i:]][:, live // BLOCK]) * SLACK >= theta
+            keep = score * SLACK + most[live // BLOCK] >= theta
             live, score = live[keep], score[keep]
-            score = score + factor[i:] @ self.dense[rows[i:]][:, live]
+            score = score + factor[i:] @ self.dense[np.ix_(rows[i:], live)]
             theta = max(theta, _kth(score, k))
             keep = score * SLACK >= theta
             live, score = live[keep], score[keep]
@@ -180,28 +186,62 @@ def _kth(score: np.ndarray, k: int) -> float:
     return float(np.partition(score, len(score) - k)[len(score) - k]) if len(score) >= k else 0.0
 
 
-def _build(batches):
-    seen = WordHashes()
-    ids, hashes = [], []
-    for b in batches:
-        ids += b.column("doc_id").to_pylist()
-        hashes += [word_hashes(t.as_py(), seen) for t in b.column("text")]
-    if ids:
-        row = build_shard(hashes, ids)
-        yield pa.record_batch([pa.array([x], pa.binary()) for x in row.values()], names=list(row))
+def _kinds(found: np.ndarray, top: np.ndarray) -> int:
+    """Which of the most frequent words a document has, as bits, the most frequent one first."""
+    return sum(1 << (len(top) - 1 - int(i)) for i in np.flatnonzero(np.isin(top, found)))
+
+
+def _sampled(docs: DataFrame, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent words of a bounded sample, and the kinds of its documents that cut it into even ranges."""
+    n, wanted = docs.count(), min(SAMPLES, SAMPLE * shards)
+    part = docs.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(1 << 20)) < max(1, (wanted << 20) // max(1, n)))
+
+    def words(batches):
+        seen = WordHashes()
+        for b in batches:
+            found = [np.unique(word_hashes(t.as_py(), seen)) for t in b.column("text")]
+            yield pa.record_batch([pa.array([w.view(np.int64) for w in found], pa.list_(pa.int64()))], names=["words"])
 
+    part = staged(part.select("text").mapInArrow(words, "words array<long>"), "search-sample")
+    top = part.select(F.explode("words").alias("word")).groupBy("word").count().orderBy(F.desc("count"), "word").limit(ORDER).toArrow()["word"].to_numpy().view(_U64)
+    bits = [F.when(F.array_contains("words", int(w)), 1 << (len(top) - 1 - i)).otherwise(0) for i, w in enumerate(top.view(np.int64))]
+    kind = sum(bits[1:], bits[0]) if bits else F.lit(0)
+    kinds = np.sort(part.select(kind.cast("long").alias("kind")).toArrow()["kind"].to_numpy())  # SAMPLES rows, about, at most
+    ranges = max(1, min(shards, len(kinds) // 10))
+    return top, kinds[np.arange(1, ranges) * len(kinds) // ranges]
 
-def build_index(docs: DataFrame, shard: int = SHARD) -> DataFrame:
-    """A row for each shard, on shared files. Rows are dealt out evenly, whatever their ids and texts."""
+
+def prepare(docs: DataFrame, shard: int = SHARD) -> DataFrame:
+    """doc_id, shard, words and counts of every row. Documents of one kind that are too many for a shard are dealt out by hash."""
     size = docs.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
-    return staged(docs.select(F.col("doc_id").cast("long"), "text").repartition(int(size // shard) + 1).mapInArrow(_build, _INDEX), "search-index")
+    shards = int(size // shard) + 1
+    top, bounds = _sampled(docs, shards) if shards > 1 else (np.empty(0, _U64), np.empty(0, np.int64))
+    fold = -(-shards // (len(bounds) + 1))  # shards a range, where there are more than ranges
 
+    def run(batches):
+        seen = WordHashes()
+        for b in batches:
+            found = [np.unique(word_hashes(t.as_py(), seen), return_counts=True) for t in b.column("text")]
+            kind = np.array([_kinds(w, top) for w, _ in found], np.int64)
+            low, high = np.searchsorted(bounds, kind, side="left"), np.searchsorted(bounds, kind, side="right")
+            deal = b.column("deal").to_numpy().view(_U64)
+            at = (low + (deal % (high - low + 1).astype(_U64)).astype(np.int64)) * fold + ((deal >> _U64(32)) % _U64(fold)).astype(np.int64)
+            columns = [b.column("doc_id"), pa.array(at, pa.int32()), pa.array([w.tobytes() for w, _ in found], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c in found], pa.binary())]
+            yield pa.record_batch(columns, names=["doc_id", "shard", "words", "counts"])
+
+    deal = F.xxhash64("doc_id", "text", F.monotonically_increasing_id()).alias("deal")
+    return staged(docs.select(F.col("doc_id").cast("long"), "text", deal).mapInArrow(run, "doc_id long, shard int, words binary, counts binary"), "search-words")
 
-def _queries(batches):
-    seen = WordHashes()
-    for b in batches:
-        words = [np.unique(word_hashes(t.as_py(), seen)).view(np.int64) for t in b.column("text")]
-        yield pa.record_batch([b.column("doc_id"), pa.array(words, pa.list_(pa.int64()))], names=["query_id", "words"])
+
+def _build(key, table):
+    found = [(np.frombuffer(w, _U64), np.frombuffer(c, np.int32)) for w, c in zip(table["words"].to_pylist(), table["counts"].to_pylist(), strict=True)]
+    row = build_shard(found, table["doc_id"].to_pylist())
+    return pa.table([pa.array([key[0].as_py()], pa.int32()), *(pa.array([x], pa.binary()) for x in row.values())], names=["shard", *row])
+
+
+def build_index(prepared: DataFrame) -> DataFrame:
+    """A row for each shard, on shared files."""
+    return staged(prepared.groupBy("shard").applyInArrow(_build, _INDEX), "search-index")
 
 
 def _lengths(batches):
@@ -211,38 +251,39 @@ def _lengths(batches):
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = K, block: int = QUERY_WORDS) -> DataFrame:
-    """query_id, rank, doc_id and score of the best k documents of an index for each row of queries (doc_id, text).
+    """query_id, rank, doc_id and score of the best k documents of an index for each row of queries, which are rows of prepare().
 
     The score is the sum over the query's distinct words of ln(1 + (N - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean length)). Words are runs without
     ASCII white space after lower-casing A-Z, told apart by 64-bit hashes. Documents with the query's own id or without an id are left out, as are those of score 0; ties go to the smaller id. Documents
-    without words count in the statistics. A query without words, or of null id, gives no rows; repeated queries give rows once; repeated documents each have a rank.
+    without words count in the statistics. A query without words, or of null id, gives no rows; queries of one id give rows once; repeated documents each have a rank.
     """
-    spark = index.sparkSession
     n, total = (x or 0 for x in index.select("lengths").mapInArrow(_lengths, "n long, total long").agg(F.sum("n"), F.sum("total")).first())
     mean = total / n if n else 0.0
-    asked = queries.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text").dropDuplicates(["doc_id"])
-    asked = staged(asked.mapInArrow(_queries, "query_id long, words array<long>").where(F.size("words") > 0).withColumn("_n", F.size("words").cast("long")), "search-queries")
-    asked = running_total(asked, ["query_id"], "_n", "_before").withColumn("_block", F.floor(F.col("_before") / block))
-    asked = staged(asked.select("query_id", "words", "_block"), "search-blocks")
-    blocks = (asked.agg(F.max("_block")).first()[0] + 1) if not asked.isEmpty() else 0
-    found = [_block(index, asked.where(F.col("_block") == i), n, mean, k) for i in range(blocks)]
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    out = found[0] if found else spark.createDataFrame([], "query_id long, doc_id long, score double")
+    asked = queries.where(F.col("doc_id").isNotNull() & (F.octet_length("words") > 0)).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("query_id"), "shard", "words", (F.octet_length("words") / 8).cast("long").alias("_n"))
+    asked = running_total(staged(asked, "search-queries"), ["query_id"], "_n", "_before").withColumn("_block", F.floor(F.col("_before") / block))
+    asked = staged(asked.select("query_id", "shard", "words", "_block"), "search-blocks")
+    last = asked.agg(F.max("_block")).first()[0]
+    shards = index.agg(F.max("shard")).first()[0]
+    found = [_block(index, shards + 1, asked.where(F.col("_block") == i), n, mean, k) for i in range(last + 1)] if last is not None else []
+    out = found[0] if found else index.sparkSession.createDataFrame([], "query_id long, doc_id long, score double")
     for df in found[1:]:
         out = out.union(df)
-    return out.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+    return _best(out, k).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def _block(index: DataFrame, asked: DataFrame, n: int, mean: float, k: int) -> DataFrame:
-    """The best k of each shard for a block of queries, which has about QUERY_WORDS words at most and those of one query besides."""
+def _block(index: DataFrame, shards: int, asked: DataFrame, n: int, mean: float, k: int) -> DataFrame:
+    """What the shards return for a block of queries, which has about QUERY_WORDS words at most and those of one query besides."""
     context = index.sparkSession.sparkContext
-    table = asked.select("query_id", "words").toArrow().combine_chunks().sort_by("query_id")
-    ids = table["query_id"].to_numpy()
-    lists = table["words"].combine_chunks()
-    words, ends = lists.values.to_numpy().view(_U64), lists.offsets.to_numpy()
-    words = words[ends[0] : ends[-1]]
-    ends = ends - ends[0]
-    vocabulary, at = np.unique(words, return_inverse=True)
+    table = asked.select("query_id", "shard", "words").toArrow().combine_chunks().sort_by("query_id")
+    ids, home = table["query_id"].to_numpy(), table["shard"].to_numpy()
+    lists = [np.frombuffer(w.as_py(), _U64) for w in table["words"]]
+    ends = np.concatenate([[0], np.cumsum([len(w) for w in lists])])
+    vocabulary, at = np.unique(np.concatenate(lists), return_inverse=True)
     known = context.broadcast(vocabulary)
 
     def count(batches):
@@ -255,29 +296,46 @@ def _block(index: DataFrame, asked: DataFrame, n: int, mean: float, k: int) -> D
     counts = index.select("words", "starts").mapInArrow(count, "word long, df long").groupBy("word").agg(F.sum("df").alias("df")).toArrow()
     df = np.zeros(len(vocabulary))
     df[counts["word"].to_numpy()] = counts["df"].to_numpy()
-    weights = context.broadcast((ids, ends, at, np.log1p((n - df + 0.5) / (df + 0.5))))
-
-    def run(batches):
-        ids, ends, at, weight = weights.value
-        floors = np.zeros(len(ids))
-        heaps: list[list[float]] = [[] for _ in ids]  # the best scores so far in this task, of all its shards
-        for b in batches:
-            for i in range(b.num_rows):
-                shard = Shard({c: b.column(c)[i].as_py() for c in b.schema.names}, mean, known.value)
-                out = []
-                for q in range(len(ids)):
-                    own = at[ends[q] : ends[q + 1]]
-                    best = shard.best(int(ids[q]), own, weight[own], k, floors[q])
-                    if best:
-                        out += [(int(ids[q]), doc, s) for s, doc in best]
-                        heaps[q] = sorted([*heaps[q], *(s for s, _ in best)], reverse=True)[:k]
-                        if len(heaps[q]) == k:
-                            floors[q] = heaps[q][-1]
-                yield pa.record_batch([pa.array([o[j] for o in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "doc_id", "score"])
-
-    return staged(index.mapInArrow(run, "query_id long, doc_id long, score double"), "search-found")
+    weights = context.broadcast((ids, home, ends, at, np.log1p((n - df + 0.5) / (df + 0.5))))
+    floors = np.zeros(len(ids))
+
+    def run(floors, at_home):
+        shared = context.broadcast(floors)
+
+        def task(batches):
+            ids, home, ends, at, weight = weights.value
+            floors = shared.value.copy()
+            heaps: dict[int, list[float]] = {}  # the best scores so far in this task, of all its shards
+            for b in batches:
+                for i in range(b.num_rows):
+                    number = b.column("shard")[i].as_py()
+                    shard = Shard({c: b.column(c)[i].as_py() for c in b.schema.names if c != "shard"}, mean, known.value)
+                    out = []
+                    for q in np.flatnonzero((home == number) == at_home).tolist():
+                        own = at[ends[q] : ends[q + 1]]
+                        best = shard.best(int(ids[q]), own, weight[own], k, floors[q])
+                        if best:
+                            out += [(int(ids[q]), doc, s) for s, doc in best]
+                            heaps[q] = sorted([*heaps.get(q, ()), *(s for s, _ in best)], reverse=True)[:k]
+                            if len(heaps[q]) == k:
+                                floors[q] = max(floors[q], heaps[q][-1])
+                    yield pa.record_batch([pa.array([o[j] for o in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "doc_id", "score"])
+
+        return task
+
+    found, begin, size = None, -1, FIRST
+    while begin < shards:  # first each query's own shard, then the others, in growing rounds
+        if found is not None and begin > -1:
+            least = _best(found, k).where(F.col("rank") == k).select("query_id", "score").toArrow()  # a row a query at most
+            floors[np.searchsorted(ids, least["query_id"].to_numpy())] = least["score"].to_numpy()
+        some = index if begin < 0 else index.where((F.col("shard") >= begin) & (F.col("shard") < begin + size))
+        more = staged(some.mapInArrow(run(floors.copy(), begin < 0), "query_id long, doc_id long, score double"), "search-found")
+        found = more if found is None else found.union(more)
+        begin, size = (0, FIRST) if begin < 0 else (begin + size, 4 * size)
+    return found
 
 
 def topk_search(docs: DataFrame, every: int = 50, k: int = K) -> DataFrame:
     """Searches for every row whose id is divisible by `every`, against all rows of docs. See search()."""
-    return search(build_index(docs), docs.where(F.col("doc_id") % every == 0), k)
+    prepared = prepare(docs)
+    return search(build_index(prepared), prepared.where(F.col("doc_id") % every == 0), k)
