@@ -73,7 +73,7 @@ OPERATORS: dict[str, tuple[Callable[[PropertyGraph, int], DataFrame], str, str]]
     "inside": (_cmp(inside(19700101, 19750101)), "", "select id from v_person where birthday >= 19700101 and birthday < 19750101"),
     "outside": (_cmp(outside(19700101, 19750101)), "", "select id from v_person where birthday < 19700101 or birthday >= 19750101"),
     "and_or": (lambda g, s: _ids(seeds(g, "Person").has("birthday", either(both(gte(19700101), lt(19720101)), gt(19950101))).has("first_name", neq("BUILDING"))), "", "select id from v_person where ((birthday >= 19700101 and birthday < 19720101) or birthday > 19950101) and first_name <> 'BUILDING'"),
-    "label_filter": (lambda g, s: _ids(seeds(g, "Person", s).in_("hasCreator").has_label("Comment")), "", "select c.src as id from e_has_creator c join v_comment m on m.id = c.src where c.dst = {s}"),
+    "label_filter": (lambda g, s: _ids(seeds(g, "Person", s).out("knows").in_("hasCreator").has_label("Comment")), "", "select c.src as id from e_knows k join e_has_creator c on c.dst = k.dst join v_comment m on m.id = c.src where k.src = {s}"),
     "union_identity_out": (lambda g, s: _ids(seeds(g, "Person", s).out("knows").union(lambda t: t, lambda t: t.out("knows"))), _ALL2, "select v as id from h1 union all select v from h2"),
     "dedup": (lambda g, s: _ids(seeds(g, "Person", s).out("knows").out("knows").dedup()), _ALL2, "select distinct v as id from h2"),
     "store_semi": (lambda g, s: _ids(seeds(g, "Person", s).out("knows").out("knows").within(seeds(g, "Person", s).out("knows"))), _ALL2, "select v as id from h2 where v in (select v from h1)"),

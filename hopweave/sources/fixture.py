@@ -72,7 +72,7 @@ def views_sql(names: list[str]) -> str:
 
     for n in names:
         need(n)
-    return ",\n".join(f"{n} as ({_MS.sub(r'epoch_ms(\1)', VIEWS[n]).format_map({k: k for k in (*TABLES, *VIEWS)})})" for n in order)
+    return ",\n".join(f"{n} as ({_MS.sub(r'(epoch_us(\1) // 1000)', VIEWS[n]).format_map({k: k for k in (*TABLES, *VIEWS)})})" for n in order)
 
 
 def fixture_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
