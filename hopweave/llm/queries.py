@@ -85,7 +85,7 @@ def oracle_sql() -> dict[str, str]:
             p as (select doc_id, size, word, count(*) as tf from t group by all),
             f as (select word, count(*) as df from p group by word),
             s as (
-                select q.doc_id as query_id, p.doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))) as score
+                select q.doc_id as query_id, p.doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 8) as score
                 from (select distinct doc_id, word from p where doc_id % 50 = 0) q join p on p.word = q.word and p.doc_id <> q.doc_id join f on f.word = q.word, one group by all
             ), r as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from s)
             select query_id, rank, doc_id, round(score, 4) as score from r where rank <= 10""",
