@@ -129,7 +129,7 @@ class Traversal:
     def repeat(self, body: Body, times: int, emit: str | Body = "last", depth: str | None = None, simple: str | None = None) -> Traversal:
         """Applies body again and again, each time to what it found before, equal rows once.
 
-        emit: `last` gives what the last time found, `all` what any time found, a body those of any time that it lets through. depth:
+        emit: `last` gives what the last time found, `all` what any time found, a body, which only filters, those of any time that it lets through. depth:
         a column that gets the number of the time. simple: a column that gets the path, an array; vertices that it holds already are left out.
         """
         at = self.dedup()
@@ -142,9 +142,9 @@ class Traversal:
                 at = at.where(~F.array_contains(simple, F.col("v"))).carry(**{simple: F.concat(simple, F.array("v"))})
             at = at.dedup()
             if emit != "last" or t == times:
-                out = emit(at) if callable(emit) else at
-                found.append(out.carry(**{depth: F.lit(t)}).df if depth else out.df)
-        return self._with(reduce(DataFrame.unionByName, found), at.label)
+                found.append(at.carry(**{depth: F.lit(t)}).df if depth else at.df)
+        out = self._with(reduce(DataFrame.unionByName, found), at.label)
+        return emit(out) if callable(emit) else out
 
     def _owned(self, body: Body) -> tuple[str, DataFrame]:
         """What body finds for each distinct vertex, which is carried as its owner."""

@@ -22,12 +22,12 @@ FEB2024 = 1706745600000
 BATCH = (952, 17, 5, 40, 101)
 TAG = "blue rod #6"
 
-_graphs: dict[tuple[int, str], PropertyGraph] = {}
+_graphs: dict[tuple[str, str], PropertyGraph] = {}
 
 
 def graph_of(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     """The session's graph of a data folder, cached where it has been used: Spark drops what does not fit and computes lost parts again."""
-    key = (id(spark.sparkContext), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _graphs:
         _graphs[key] = fixture_graph(spark, sf_dir).cached()
     return _graphs[key]
