@@ -5,8 +5,9 @@ the representative's odd sketch: the population count of the XOR of two sketches
 candidates; those whose sketches are near enough are compared on their full sets.
 
 Pairs within a group are never all listed. First each member of a band's group is compared with the group's first member, and links make components. A group is done when
-it has one component. In the others, members outside the group's largest component are compared with the members of other components, with few of them a group first, then more, then all, so that
-no link between components is lost while large groups of copies cost a few comparisons each.
+it has one component. In the others each member is next compared with the one beside it, in order of another band's key, a few times with different bands; large groups of copies
+come together in this way by as many comparisons as they have members. In groups that still have several components, members outside the largest one are compared with the members of other components, with a few of them a group first, then all, so that
+no link between components is lost.
 """
 
 import math
@@ -23,8 +24,10 @@ from .common import staged
 SAMPLES, BANDS, BITS = 128, 32, 512
 #: Sketches that tell of a similarity below this, about 4.5 standard errors of SAMPLES values under 0.8, rule a pair out.
 LEAST = 0.64
+#: Bands by whose keys members are set side by side, in turn.
+BESIDE = (5, 16, 27)
 #: How many members outside the largest component a group compares in one pass, in turn; None is all.
-PASSES = (8, 128, None)
+PASSES = (8, None)
 LONGS = BITS // 64
 
 _RNG = np.random.default_rng(5)
@@ -164,23 +167,27 @@ def near_dedup(docs: DataFrame, width: int = 5) -> DataFrame:
     by = Window.partitionBy("band").orderBy("rep")
     ranked = reps.select("rep", F.explode("bands").alias("band")).withColumn("first", F.first("rep").over(by)).withColumn("then", F.lead("rep").over(by))
     groups = staged(ranked.where((F.col("rep") != F.col("first")) | F.col("then").isNotNull()).select("band", "rep", "first"), "near-groups")
+    # the full sets of all members, made once; a merge join at every size, as ids of all members may be too many to broadcast
+    members = groups.select(F.col("rep").alias("doc_id")).distinct().hint("merge")
+    sets = staged(_sets(docs.select("doc_id", "text").join(members, "doc_id", "left_semi"), width), "near-sets")
     pairs = groups.where(F.col("rep") != F.col("first")).select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
     ab = pairs.join(sketches.alias("x"), F.col("a") == F.col("x.rep")).join(sketches.alias("y"), F.col("b") == F.col("y.rep"))
-    edges = _links(docs, staged(ab.where(_near("x", "y")).select("a", "b"), "near-pairs"), width)
+    tried = staged(ab.where(_near("x", "y")).select("a", "b"), "near-pairs")
+    edges = _links(sets, tried)
     labels = components(edges)
     large = groups.groupBy("band").count().where(F.col("count") > 2).select("band")
-    rest = staged(groups.join(large, "band"), "near-large")
-    for most in PASSES:
-        rest, more = _across(rest, labels, sketches, edges, most)
-        more = more.join(edges, ["a", "b"], "left_anti")
-        more = staged(more, "near-pairs")
+    rest = groups.join(large, "band")
+    for turn in (*((_beside, band) for band in BESIDE), *((_across, most) for most in PASSES)):
+        rest = staged(_open(rest, labels), "near-open")
+        if rest.isEmpty():
+            break
+        more = staged(turn[0](rest.join(reps, "rep"), turn[1]).join(tried, ["a", "b"], "left_anti"), "near-pairs")
         if not more.isEmpty():
-            found = _links(docs, more, width)
+            tried = tried.union(more)
+            found = _links(sets, more)
             if not found.isEmpty():
-                edges = staged(edges.union(found), "near-links")
+                edges = edges.union(found)
                 labels = components(edges)
-        elif most is None or rest.isEmpty():
-            break
     nodes = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("print", "n", F.coalesce("component", "rep").alias("component"))
     found = signed.select("doc_id", "n", "print").join(nodes, ["print", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
@@ -188,27 +195,37 @@ def near_dedup(docs: DataFrame, width: int = 5) -> DataFrame:
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _across(rest: DataFrame, labels: DataFrame, sketches: DataFrame, edges: DataFrame, most: int | None) -> tuple[DataFrame, DataFrame]:
-    """The groups with several components, and pairs of different components in them: each of up to `most` members outside the largest component with the others."""
+def _open(rest: DataFrame, labels: DataFrame) -> DataFrame:
+    """band, rep, component and main of the members of groups with several components; main is the largest one."""
     known = labels.withColumnRenamed("node", "rep")
-    member = rest.select("band", "rep", "first").join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    member = rest.select("band", "rep").join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     sizes = member.groupBy("band", "component").agg(F.count("*").alias("size"))
     largest = sizes.groupBy("band").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("parts")).where(F.col("parts") > 1)
-    member = staged(member.join(largest, "band").join(sketches, "rep").select("band", "rep", "first", "component", "n", "sketch", F.col("top.component").alias("main")), "near-members")
+    return member.join(largest, "band").select("band", "rep", "component", F.col("top.component").alias("main"))
+
+
+def _ordered(met: DataFrame) -> DataFrame:
+    return met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+
+
+def _beside(member: DataFrame, band: int) -> DataFrame:
+    """Pairs of neighbours of different components, in order of the key of another band: those that share it too stand together."""
+    by = Window.partitionBy("band").orderBy(F.col("bands")[band], "n", "rep")
+    own = F.struct("rep", "n", "sketch", "component")
+    return _ordered(member.select(own.alias("x"), F.lag(own).over(by).alias("y")).where((F.col("x.component") != F.col("y.component")) & _near("x", "y")))
+
+
+def _across(member: DataFrame, most: int | None) -> DataFrame:
+    """Pairs of different components: up to `most` members of each group outside the largest component with all others."""
+    member = member.drop("bands", "print")
     outside = member.where(F.col("component") != F.col("main"))
     if most is not None:
         outside = outside.withColumn("_at", F.row_number().over(Window.partitionBy("band").orderBy("rep"))).where(F.col("_at") <= most).drop("_at")
-    x, y = outside.alias("x"), member.alias("y")
-    tested = (F.col("x.rep") == F.col("x.first")) | (F.col("y.rep") == F.col("y.first"))
-    met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.component") != F.col("y.component")) & ~tested & _near("x", "y"))
-    pairs = met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    return member.select("band", "rep", "first"), pairs
+    return _ordered(outside.alias("x").join(member.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.component") != F.col("y.component")) & _near("x", "y")))
 
 
-def _links(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+def _links(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose full sets meet the threshold."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = staged(_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), width), "near-sets")
     x = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x"))
     y = sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
