@@ -23,7 +23,7 @@ from .near_dedup import WordHashes
 K = 10
 K1, B = 1.2, 0.75
 #: Bytes of text in a shard, words of all queries in a block, documents in a block of a shard: they bound a task's memory and what is broadcast.
-SHARD = 24 << 20
+SHARD = 10 << 20
 QUERY_WORDS = 2_000_000
 BLOCK = 32
 #: A word is common in a shard if more than one document in so many has it.
