@@ -18,29 +18,39 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 ORACLE_SQL = None
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The rows on shared files with _row, a key of each row's own whatever its id, and _hash, which orders rows alike in every run."""
+    return staged(docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("_hash"), F.monotonically_increasing_id().alias("_row")), "pipeline-rows")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go; the language that was found replaces the given one."""
-    found = language_id(docs).where(F.col("lang_pred") != "und").select(F.col("doc_id").alias("_id"), "lang_pred").distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+    found = language_id(docs, carry=("text", "source", "n_chars")).where(F.col("lang_pred") != "und")
+    return found.withColumnRenamed("lang_pred", "lang").select(*COLUMNS)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
-    kept = exact_dedup(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    rows = _keyed(docs)
+    kept = exact_dedup(rows, carry=("_row",)).where("kept").select("_row")
+    return rows.join(kept, "_row", "left_semi").select(*COLUMNS)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies stays."""
-    kept = near_dedup(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """One document of each component of near copies stays, the one of the smallest doc_id. Each row is a document; one without an id is linked with nothing and stays."""
+    rows = _keyed(docs)
+    named = rows.where(F.col("doc_id").isNotNull())
+    parts = near_dedup(named.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    least = parts.join(named.select("_row", "doc_id", "_hash"), "_row").groupBy("component_id").agg(F.min(F.struct("doc_id", "_hash", "_row")).alias("least"))
+    kept = least.select("least._row").union(rows.where(F.col("doc_id").isNull()).select("_row"))
+    return rows.join(kept, "_row", "left_semi").select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each take of a document; a document that the mix takes nothing of goes. The one document a source that the target cuts comes whole."""
-    takes = mix(docs).select(F.col("doc_id").alias("_id"), (F.col("position").isNotNull().cast("int") + F.col("again").isNotNull().cast("int")).alias("_takes")).where(F.col("_takes") > 0)
-    rows = docs.join(takes, F.col("doc_id") == F.col("_id")).select(*COLUMNS, F.explode(F.sequence(F.lit(1), "_takes")))
-    return rows.select(*COLUMNS)
+    rows = _keyed(docs)
+    takes = mix(rows, carry=("_row",)).select("_row", (F.col("position").isNotNull().cast("int") + F.col("again").isNotNull().cast("int")).alias("_takes")).where(F.col("_takes") > 0)
+    return rows.join(takes, "_row").select(*COLUMNS, F.explode(F.sequence(F.lit(1), "_takes"))).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

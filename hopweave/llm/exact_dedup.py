@@ -132,14 +132,14 @@ def build_index(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return staged(owned.mapInArrow(_own, _ENTRY), "extendible-hash")
 
 
-def exact_dedup(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. Of equal texts the largest doc_id stays.
     Null ids: a null doc_id loses to any other; a group with null ids only keeps null. Repeated rows count one by one in
-    group_size and each repeat of the row that stays is marked as kept. Empty tables give no rows. Other columns are not read.
+    group_size and each repeat of the row that stays is marked as kept. Empty tables give no rows. The columns in carry go along with their rows; others are not read.
     """
     index = build_index(docs, capacity).select("key", "text_sha256", "keep_id", "group_size")
     norm = lower_az(F.col("text"))
-    rows = docs.select("doc_id", F.xxhash64(norm).alias("key"), F.sha2(norm, 256).alias("text_sha256"))
-    return rows.join(index, ["key", "text_sha256"], "left").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    rows = docs.select("doc_id", F.xxhash64(norm).alias("key"), F.sha2(norm, 256).alias("text_sha256"), *carry)
+    return rows.join(index, ["key", "text_sha256"], "left").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", *carry)

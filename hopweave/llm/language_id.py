@@ -92,10 +92,10 @@ def fit(docs: DataFrame) -> KernelRidge | None:
     return KernelRidge([r["grams"] for r in sample], [r["lang"] for r in sample]) if sample else None
 
 
-def identify(docs: DataFrame, model: KernelRidge | None) -> DataFrame:
+def identify(docs: DataFrame, model: KernelRidge | None, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, lang_pred and score (0 to 1) of every row; lang_pred is `und` with score 0 if the text is null or has no letter, or if there is no model.
 
-    Only the text is read. Repeated rows give the same again; null ids are carried on; empty tables give no rows.
+    Only the text is read. Repeated rows give the same again; null ids are carried on; empty tables give no rows. The columns in carry go along with their rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model and vars(model))
 
@@ -127,9 +127,10 @@ def identify(docs: DataFrame, model: KernelRidge | None) -> DataFrame:
                 if len(rows) == 256:
                     score()
             score()
-            yield pa.record_batch([ids.cast(pa.int64()), pa.array([k[0] for k in known], pa.string()), pa.array([k[1] for k in known], pa.float64())], names=["doc_id", "lang_pred", "score"])
+            yield pa.record_batch([ids.cast(pa.int64()), pa.array([k[0] for k in known], pa.string()), pa.array([k[1] for k in known], pa.float64()), *(b.column(c) for c in carry)], names=["doc_id", "lang_pred", "score", *carry])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return docs.select(*dict.fromkeys(("doc_id", "text", *carry))).mapInArrow(run, "doc_id long, lang_pred string, score double" + kinds)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -137,7 +138,7 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def language_id(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of every row, by a model that learns from the rows that aren't held out."""
+def language_id(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of every row, and its columns in carry, by a model that learns from the rows that aren't held out."""
     model = fit(docs.where(~held_out(F.col("doc_id"))))
-    return identify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return identify(docs, model, carry).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", *carry)

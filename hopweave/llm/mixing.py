@@ -47,16 +47,16 @@ def _time(tokens: Column) -> Column:
     return F.when(a == 0, y).otherwise((1 + a - F.sqrt((1 + a) * (1 + a) - 4 * a * y)) / (2 * a))
 
 
-def mix(docs: DataFrame) -> DataFrame:
+def mix(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size (words), source, source_size, target, taken (words, repeats counted), position and again (times from 0 to 1 of the first and second
     take, else null) for every row of docs, range-sorted by position.
 
     Documents of a source come in order of the MD5 of their id, the same in every run; whole rounds of the source are taken, then its beginning up to the target, so that taken sums
     to the target's whole part and at most one document of a source is cut. A null or blank text has size 0 and takes nothing; a null source is a source of its own, the last; a null doc_id
-    is carried on; repeated rows are rows of their own. Empty tables give no rows. Other columns are not read.
+    is carried on; repeated rows are rows of their own. Empty tables give no rows. The columns in carry go along with their rows; others are not read.
     """
     # staged, as the range partitioning reads it twice
-    sized = staged(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "mix").withColumn("_hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
+    sized = staged(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *carry), "mix").withColumn("_hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
     placed = running_total(sized, ["source", "_hash", "doc_id", "size"], "size", "_before")
     wanted = targets(sized).withColumnRenamed("source", "_source")
     rows = placed.join(wanted, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_before", F.col("_before") - F.col("_start"))
@@ -67,5 +67,5 @@ def mix(docs: DataFrame) -> DataFrame:
     whole = F.when(F.col("size") > 0, F.col("_rounds") + F.when(F.col("_left") > 0, 1).otherwise(0)).otherwise(0)
     first = F.when(whole >= 1, _time(F.col("_before").cast("double")))
     second = F.when(whole >= 2, _time((F.col("_before") + F.col("source_size")).cast("double")))
-    out = rows.select("doc_id", "size", "source", "source_size", "target", "taken", first.alias("position"), second.alias("again"))
+    out = rows.select("doc_id", "size", "source", "source_size", "target", "taken", first.alias("position"), second.alias("again"), *carry)
     return out.orderBy(F.asc_nulls_last("position"), "doc_id")
