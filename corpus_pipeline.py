@@ -30,10 +30,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays."""
+    """One row of each group of equal texts stays, one of the largest doc_id."""
     rows = _keyed(docs)
-    kept = exact_dedup(rows, carry=("_row",)).where("kept").select("_row")
-    return rows.join(kept, "_row", "left_semi").select(*COLUMNS)
+    kept = exact_dedup(rows, carry=("_hash", "_row")).where("kept").groupBy("text_sha256").agg(F.min(F.struct("_hash", "_row")).alias("least"))
+    return rows.join(kept.select("least._row"), "_row", "left_semi").select(*COLUMNS)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

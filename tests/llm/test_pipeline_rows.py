@@ -23,3 +23,24 @@ def test_rows_without_an_id_stay(spark, tmp_path):
     for name in ("exact", "near"):
         assert {r[1] for r in stage(spark, name, data, tmp_path) if r[0] is None and r[1]} == texts
     assert {r[1] for r in stage(spark, "mixture", [(None, f"text number {i}", "en", "src0", 1) for i in range(40)], tmp_path)}
+
+
+def test_one_row_of_each_group_stays(spark, tmp_path):
+    data = rows() + [(7, "a repeated row of seven words here", "en", "src0", 1)] * 30 + [(None, "repeated without an id", "en", "src0", 1)] * 5 + [(9, "an id of two texts", "en", "src0", 1), (9, "the other one of them", "de", "src1", 2)]
+    found = stage(spark, "exact", data, tmp_path)
+    assert Counter(low(r[1]) for r in found) == Counter({low(r[1]) for r in data})
+    largest = {}
+    for i, text, *_ in data:
+        largest[low(text)] = max((x for x in (i, largest.get(low(text))) if x is not None), default=None)
+    assert all(r[0] == largest[low(r[1])] for r in found)
+    near = stage(spark, "near", [r for r in data if r[0] in (7, 9)], tmp_path)
+    assert Counter(r[1] for r in near) == Counter({r[1] for r in data if r[0] in (7, 9)})
+
+
+def test_takes_are_of_rows(spark, tmp_path):
+    data = [(7, "a repeated row of seven words here", "en", "src0", 1)] * 30 + [(i, "one two three", "en", "src1", 1) for i in range(20)] + [(9, "an id of two texts", "en", "src0", 1), (9, "the other one of them", "de", "src1", 2)]
+    found = Counter(stage(spark, "mixture", data, tmp_path))
+    assert all(n <= 2 * Counter(data)[r] for r, n in found.items())
+    size = sum(len(words(r[1])) for r in data)
+    spent = sum(len(words(r[1])) * n for r, n in found.items())
+    assert 1.5 * size - 3 <= spent <= 1.5 * size + 2 * 7
