@@ -1,8 +1,8 @@
 """License scan by diagonal voting, with DataFrame operations only.
 
 All rolling word pairs of the texts are joined on their hash with the positions of the same pairs in templates; words are compared as well, so a vote is exact. Votes are counted for each offset between
-the text and the template (a diagonal), neighbouring diagonals are merged so that a few added or dropped words don't matter, and a merged span counts if enough of the
-template voted for it within a span of about its length.
+the text and the template (a diagonal), neighbouring diagonals are merged so that a few added or dropped words don't matter, and a merged run counts if enough of the
+template voted for it within a stretch of the text of about the template's length. Stretches begin at each vote of a run, so a run may be of any length.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -58,6 +58,26 @@ def _templates(spark) -> DataFrame:
     return split.withColumnRenamed("place", "at")
 
 
+def _width(pairs: Column | int) -> Column | float:
+    """How far the votes for a template of so many pairs may lie apart."""
+    return pairs * 1.5 + 4
+
+
+#: The width for the longest template.
+WIDEST = int(_width(max(t.count(" ") for t in TEMPLATES)))
+
+
+def _most(hits: Column) -> Column:
+    """The largest number of different pairs that voted on diagonals at most DRIFT apart from one another in turn."""
+    none = F.struct(F.lit(None).cast("int").alias("line"), F.array().cast("array<int>").alias("at"), F.lit(0).alias("most"))
+
+    def step(so_far, hit):
+        at = F.when(hit["line"] - so_far["line"] > DRIFT, F.array(hit["at"])).otherwise(F.array_union(so_far["at"], F.array(hit["at"])))
+        return F.struct(hit["line"].alias("line"), at.alias("at"), F.greatest(so_far["most"], F.size(at)).alias("most"))
+
+    return F.aggregate(F.array_sort(hits), none, step)["most"]
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of every row of docs.
 
@@ -68,16 +88,19 @@ def scan(docs: DataFrame) -> DataFrame:
     key = F.xxhash64(F.coalesce("text", F.lit("")))
     pairs = docs.select("doc_id", key.alias("_text"), words(F.col("text")).alias("_words")).select("doc_id", "_text", F.inline(_pairs(F.col("_words"))))
     votes = pairs.join(F.broadcast(_templates(docs.sparkSession)), ["hash", "word", "then"])
-    lines = votes.groupBy("doc_id", "_text", "template", "label", "base", "pairs", (F.col("place") - F.col("at")).alias("line")).agg(F.collect_set("at").alias("at"), F.min("place").alias("low"), F.max("place").alias("high"))
+    lines = votes.groupBy("doc_id", "_text", "template", "label", "base", "pairs", (F.col("place") - F.col("at")).alias("line")).agg(F.collect_set("at").alias("at"))
     exact = lines.where(F.col("base") & (F.size("at") == F.col("pairs")))
     exact = exact.select("doc_id", "_text", "label", F.lit(True).alias("base"), F.col("line").cast("long").alias("start"), F.lit(1.0).alias("score"))
     by = Window.partitionBy("doc_id", "_text", "template").orderBy("line")
     apart = F.coalesce(F.col("line") - F.lag("line").over(by) > DRIFT, F.lit(True)).cast("int")
     near = lines.where(~F.col("base")).withColumn("_apart", apart).withColumn("_run", F.sum("_apart").over(by))
-    spans = near.groupBy("doc_id", "_text", "template", "label", "pairs", "_run").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("votes"), F.min("low").alias("low"), F.max("high").alias("high"))
-    cover = F.col("votes") / F.col("pairs")
-    spans = spans.where((cover >= COVER) & (F.col("high") - F.col("low") <= F.col("pairs") * 1.5 + 4))
-    spans = spans.select("doc_id", "_text", "label", F.lit(False).alias("base"), F.col("low").cast("long").alias("start"), cover.alias("score"))
+    runs = near.groupBy("doc_id", "_text", "template", "label", "pairs", "_run").agg(F.collect_list(F.struct("line", "at")).alias("lines"))
+    runs = runs.where(F.size(F.array_distinct(F.flatten("lines.at"))) / F.col("pairs") >= COVER)  # no stretch has more than its run
+    hits = runs.select("doc_id", "_text", "template", "label", "pairs", "_run", F.inline("lines")).withColumn("at", F.explode("at")).withColumn("place", F.col("line") + F.col("at"))
+    ahead = Window.partitionBy("doc_id", "_text", "template", "_run").orderBy("place").rangeBetween(0, WIDEST)
+    hits = hits.withColumn("_ahead", F.collect_list(F.struct("line", "at", "place")).over(ahead))
+    cover = _most(F.filter("_ahead", lambda h: h["place"] - F.col("place") <= _width(F.col("pairs")))) / F.col("pairs")
+    spans = hits.select("doc_id", "_text", "label", F.lit(False).alias("base"), F.col("place").cast("long").alias("start"), cover.alias("score")).where(F.col("score") >= COVER)
     start = F.when(F.col("base"), F.col("start"))
     found = exact.unionByName(spans).groupBy(F.col("doc_id").alias("_doc"), F.col("_text").alias("_same")).agg(
         F.count(start).alias("n_base"), F.min(start).alias("first_word"), F.max(start).alias("last_word"),

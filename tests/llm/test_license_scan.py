@@ -57,3 +57,14 @@ def test_long_repeats_and_empty(spark):
 def test_no_python(spark):
     text = scan(table(spark, [(1, "a", None, None, None)], extra=False))._jdf.queryExecution().toString()
     assert "Python" not in text and "Arrow" not in text
+
+
+def test_templates_beside_repeats_of_their_words(spark):
+    whole, long = list(TEMPLATES)[:2]
+    data = [(n, "lead in " + whole + " mit license" * n, None, None, None) for n in (0, 4, 5, 400)]
+    data += [(1000 + n, "mit license " * n + whole + " the mit license" * n, None, None, None) for n in (4, 50)]
+    data += [(2000, "the software " * 60 + long + " the software" * 60, None, None, None), (3000, "mit license " * 500, None, None, None), (3001, "the mit license under the mit " * 50, None, None, None)]
+    found = {r[0]: r[1:] for r in tuples(scan(table(spark, data)), "doc_id", "labels", "score")}
+    assert all(found[i] == ("mit", 1.0) for i in found if i < 3000)
+    assert found[3000] == ("", 0.0)
+    assert found[3001] == ("mit", 0.75)
