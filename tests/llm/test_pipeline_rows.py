@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 
 from .helpers import low, rows, table, words
@@ -44,3 +46,11 @@ def test_takes_are_of_rows(spark, tmp_path):
     size = sum(len(words(r[1])) for r in data)
     spent = sum(len(words(r[1])) * n for r, n in found.items())
     assert 1.5 * size - 3 <= spent <= 1.5 * size + 2 * 7
+
+
+def test_extra_columns_of_any_name(spark, tmp_path):
+    data = [(i, f"some text of number {i}", "en", "src0", 1) for i in range(8)]
+    clash = table(spark, data).withColumns({c: F.lit("clash") for c in ("lang_pred", "_takes", "_row", "_hash", "component_id", "kept", "position")})
+    for name, one in cp.STAGES:
+        found, wanted = (sorted(map(str, one(spark, df, str(tmp_path)).collect())) for df in (clash, table(spark, data, extra=False)))
+        assert found == wanted, name
