@@ -37,7 +37,7 @@ FIRST = 4
 #: Bounds are in single precision; this makes up for their rounding.
 SLACK = 1 + 1e-4
 
-_INDEX = "shard int, words binary, starts binary, docs binary, tf binary, lengths binary, ids binary"
+_INDEX = "shard int, words binary, starts binary, docs binary, tf binary, lengths binary, ids binary, named binary"
 _U64 = np.uint64
 
 
@@ -47,7 +47,7 @@ def word_hashes(text: str | None, seen: WordHashes) -> np.ndarray:
 
 
 def build_shard(found: list[tuple[np.ndarray, np.ndarray]], ids: list[int | None]) -> dict[str, bytes]:
-    """The arrays of one shard from each document's distinct words and their counts. ids: null ids become -1, which no query finds."""
+    """The arrays of one shard from each document's distinct words and their counts. ids: null ids become 0, and a bit for each document says whether it has one."""
     sizes = np.array([len(w) for w, _ in found], np.int64)
     word = np.concatenate([w for w, _ in found]) if found else np.empty(0, _U64)
     tf = np.concatenate([c for _, c in found]).astype(np.int32) if found else np.empty(0, np.int32)
@@ -68,7 +68,8 @@ def build_shard(found: list[tuple[np.ndarray, np.ndarray]], ids: list[int | None
     by = np.lexsort((place[doc], at))
     return {
         "words": words.tobytes(), "starts": np.concatenate([[0], np.cumsum(df)]).astype(np.int64).tobytes(), "docs": place[doc][by].tobytes(), "tf": tf[by].tobytes(),
-        "lengths": lengths[order].tobytes(), "ids": np.array([-1 if i is None else i for i in ids], np.int64)[order].tobytes(),
+        "lengths": lengths[order].tobytes(), "ids": np.array([0 if i is None else i for i in ids], np.int64)[order].tobytes(),
+        "named": np.packbits(np.array([i is not None for i in ids], bool)[order]).tobytes(),
     }
 
 
@@ -102,7 +103,7 @@ class Shard:
         self.bound = self.limit[common].astype(np.float32)
         self.by_id = np.argsort(self.ids, kind="stable")
         self.sorted_ids = self.ids[self.by_id]
-        self.nameless = np.flatnonzero(self.ids < 0)
+        self.nameless = np.flatnonzero(np.unpackbits(np.frombuffer(row["named"], np.uint8), count=self.n) == 0)
 
     def entries(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of all postings of some words, and for each the number of its word among them."""

@@ -80,3 +80,9 @@ def test_pruning_loses_nothing(texts, k):
                 scores.append((-round(s, 9), i))
         assert [i for _, i in found] == [i for _, i in sorted(scores)][:k]
         assert [i for _, i in every] == [i for _, i in sorted(scores)]
+
+
+def test_negative_ids_are_found(spark):
+    data = [(None if r[0] is None else r[0] - 150, *r[1:]) for r in rows()]
+    assert any(i < 0 for found in brute(data, 5, 10).values() for i, _ in found)
+    assert result(ts.topk_search(table(spark, data), 5, 10)) == brute(data, 5, 10)
