@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import staged
+
 BITS = 16
 GRAMS = 3
 #: The training sample: so many rows of each language, and of so many languages, the most frequent ones. The sample doesn't grow with the input.
@@ -74,21 +76,29 @@ class KernelRidge:
 
 
 def fit(docs: DataFrame) -> KernelRidge | None:
-    """Fits on a bounded sample of the rows with a language and a letter: those of least hash, the same for each language. None without such rows."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    """Fits on a bounded sample of the rows with a language and a letter: those of least hash, the same for each language. Rows of one id and text count once. None without such rows."""
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text", F.xxhash64("text").alias("_print"))
+
+    def lettered(batches):
+        for b in batches:
+            yield b.select(["doc_id", "lang", "_print"]).filter(pa.array([has_letter(t.as_py()) for t in b.column("text")], pa.bool_()))
+
+    useful = staged(rows.mapInArrow(lettered, rows.drop("text").schema).distinct(), "language-rows")
     top = Window.orderBy(F.desc("count"), "lang")
-    langs = rows.groupBy("lang").count().withColumn("_at", F.row_number().over(top)).where(F.col("_at") <= LANGUAGES)
-    least = Window.partitionBy("lang").orderBy("_hash", "doc_id")
-    picked = rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("_hash")).join(F.broadcast(langs.select("lang")), "lang").withColumn("_at", F.row_number().over(least)).where(F.col("_at") <= ROWS)
-    ids = picked.select("lang", "doc_id").distinct()  # ROWS * LANGUAGES rows at most
+    langs = useful.groupBy("lang").count().withColumn("_at", F.row_number().over(top)).where(F.col("_at") <= LANGUAGES)
+    least = Window.partitionBy("lang").orderBy("_hash", "doc_id", "_print")
+    picked = useful.select("lang", "doc_id", "_print", F.xxhash64("doc_id").alias("_hash")).join(F.broadcast(langs.select("lang")), "lang").withColumn("_at", F.row_number().over(least)).where(F.col("_at") <= ROWS)
+    ids = picked.select(F.col("lang").alias("_lang"), F.col("doc_id").alias("_id"), F.col("_print").alias("_same"))  # ROWS * LANGUAGES rows at most
 
     def pack(batches):
         for b in batches:
             out = [(doc, lang, np.packbits(presence(text)).tobytes()) for doc, lang, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "lang", "text")), strict=True) if has_letter(text)]
             yield pa.record_batch([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.string(), pa.binary()))], names=["doc_id", "lang", "grams"])
 
-    sample = rows.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).mapInArrow(pack, "doc_id long, lang string, grams binary").toArrow().to_pylist()
-    sample.sort(key=lambda r: (r["lang"], r["doc_id"], r["grams"]))
+    same = (F.col("lang") == F.col("_lang")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_print") == F.col("_same"))
+    one = rows.join(F.broadcast(ids), same, "left_semi").dropDuplicates(["doc_id", "lang", "_print"])
+    sample = one.select("doc_id", "lang", "text").mapInArrow(pack, "doc_id long, lang string, grams binary").toArrow().to_pylist()
+    sample.sort(key=lambda r: (r["lang"], r["doc_id"] is not None, r["doc_id"] or 0, r["grams"]))
     return KernelRidge([r["grams"] for r in sample], [r["lang"] for r in sample]) if sample else None
 
 

@@ -47,3 +47,9 @@ def test_presence_of_long_texts_is_whole():
     end = presence(text + "qz")
     assert (end & ~presence(text)).sum() >= 2 and (presence("ab") & end).sum() == presence("ab").sum() == 3
     assert pytest.approx(presence("ABC").sum()) == presence("abc").sum() == 6
+
+
+def test_sample_is_of_different_texts_with_letters(spark):
+    data = [(i, "123 456", "de", None, None) for i in range(900)] + [(900, "ein deutscher Text", "de", None, None)] + [(1000, "an English text", "en", None, None)] * 900 + [(i, f"English text of number {i}", "en", None, None) for i in range(1001, 1030)]
+    model = fit(table(spark, data))
+    assert model.classes == ["de", "en"] and model.marks.shape[1] == 1 + 24
