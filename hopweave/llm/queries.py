@@ -111,6 +111,27 @@ def oracle_sql() -> dict[str, str]:
             select conv_id, speaker, stretch, piece, count(*) as n_turns, count(*) filter (own) as n_own, string_agg(seg, '' order by rk) as rendered,
                 coalesce(string_agg(cast(cast(stop - length(seg) + length(head) as bigint) as varchar) || '-' || cast(cast(stop as bigint) as varchar), ',' order by rk) filter (own), '') as masks
             from v group by conv_id, speaker, stretch, piece""",
+        "op5_near_dedup": f"""
+            with recursive d as (
+                select doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') as w from documents
+            ), s as (
+                select distinct doc_id, unnest(case when len(w) < 4 then [array_to_string(w, ' ')]
+                    else list_transform(range(1, len(w) - 2), i -> array_to_string(w[i : i + 3], ' ')) end) as shingle
+                from d where len(w) > 0
+            ), n as (
+                select doc_id, count(*) as size from s group by doc_id
+            ), p as (
+                select a.doc_id as x, b.doc_id as y, count(*) as shared from s a join s b on a.shingle = b.shingle and a.doc_id < b.doc_id group by all
+            ), l as (
+                select x, y from p join n i on p.x = i.doc_id join n j on p.y = j.doc_id where 100 * shared >= 80 * (i.size + j.size - shared)
+            ), e as (
+                select x as a, y as b from l union all select y, x from l
+            ), r as (
+                select doc_id, doc_id as root from d union select e.b, r.root from r join e on r.doc_id = e.a
+            ), c as (
+                select doc_id, min(root) as component_id from r group by doc_id
+            )
+            select doc_id, coalesce(size, 0) as n_shingles, component_id, doc_id = component_id as kept from d join c using (doc_id) left join n using (doc_id)""",
         "op8_mixing": """
             with d as (
                 select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as size,
