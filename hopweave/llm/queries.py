@@ -116,7 +116,7 @@ def oracle_sql() -> dict[str, str]:
                 select doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') as w from documents
             ), s as (
                 select distinct doc_id, unnest(case when len(w) < 4 then [array_to_string(w, ' ')]
-                    else list_transform(range(1, len(w) - 2), i -> array_to_string(w[i : i + 3], ' ')) end) as shingle
+                    else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) end) as shingle
                 from d where len(w) > 0
             ), n as (
                 select doc_id, count(*) as size from s group by doc_id

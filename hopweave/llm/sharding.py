@@ -1,19 +1,19 @@
 """Sharding of indivisible groups by best-fit-decreasing bin packing.
 
-Groups (equal texts) enter in order of size the shard with the least room that still holds them, found in a balanced tree of the shards' rooms. Groups above a
-grain of 1 / (GRAIN * shards) of all bytes are packed one by one: there are at most GRAIN * shards of them. The rest are sand: best fit pours them, still by falling
-size, into the tightest shard until it is full and then into the next, so each goes where its running total falls.
+Groups (equal texts) enter in order of size the shard with the least room that still holds them, found in a balanced tree of the shards' rooms. Best fit looks at sizes
+only, so all groups of one size pass through the tree as a run: the tightest shard stays the tightest while groups of the same size enter it, and takes as many of the run as it has
+room for. The driver gets the number of groups of each size, which are at most about the root of twice all bytes, and tells for each size from which rank on groups go to which shard.
 """
 
 from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import running_total, staged
 
 SHARDS = 40
-GRAIN = 2000
 
 
 class RoomTree:
@@ -82,34 +82,32 @@ class RoomTree:
         return found
 
 
-def level(loads: list[float], more: float) -> float:
-    """The height at which more, poured over the loads, stands."""
-    high = sorted(loads)
-    for k in range(len(high), 0, -1):
-        at = (sum(high[:k]) + more) / k
-        if at >= high[k - 1]:
-            return at
-    return 0.0
+def pack(runs: list[tuple[int, int]], shards: int) -> list[list[tuple[int, int]]]:
+    """For each run (size, groups), sizes falling: (rank, shard) from which rank of the run on its groups go to which shard.
 
-
-def pack(sizes: list[int], shards: int, total: int) -> tuple[list[int], list[int]]:
-    """The shard of each of the falling sizes, and the shards' loads. Capacities are equal but for groups that alone are above."""
-    single = []
-    for s in sizes:
-        if len(single) == shards - 1 or s * (shards - len(single)) <= total - sum(single):
+    Capacities are equal but for groups that alone are above. A group that nothing has room for goes where most room is.
+    """
+    total, own, alone = sum(s * n for s, n in runs), 0, 0
+    for s, n in runs:
+        while n and alone < shards - 1 and s * (shards - alone) > total - own:
+            own, alone, n = own + s, alone + 1, n - 1
+        if n:
             break
-        single.append(s)
-    room = -(-(total - sum(single)) // (shards - len(single)))
-    tree, loads, found = RoomTree(), [0] * shards, []
+    room = -(-(total - own) // (shards - alone))
+    tree, found = RoomTree(), []
     for b in range(shards):
         tree.add((room, b))
-    for s in sizes:
-        key = tree.tightest(s)
-        tree.remove(key)
-        tree.add((key[0] - s, key[1]))
-        loads[key[1]] += s
-        found.append(key[1])
-    return found, loads
+    for s, n in runs:
+        at, cuts = 0, []
+        while at < n:
+            key = tree.tightest(s)
+            many = min(n - at, max(1, key[0] // s))
+            tree.remove(key)
+            tree.add((key[0] - many * s, key[1]))
+            cuts.append((at, key[1]))
+            at += many
+        found.append(cuts)
+    return found
 
 
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -123,21 +121,16 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     key = F.unhex(F.sha2(text, 256))
     rows = staged(docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), key.alias("_key")), "shard-rows")
     groups = staged(rows.groupBy("_key").agg(F.sum("size").alias("_bytes")), "shard-groups")
-    total = groups.agg(F.sum("_bytes")).first()[0] or 0
-    grain = total // (GRAIN * shards) + 1
-    large = groups.where(F.col("_bytes") >= grain).toArrow()  # at most GRAIN * shards rows
-    order = sorted(zip(large["_bytes"].to_pylist(), large["_key"].to_pylist(), strict=True), reverse=True)
-    found, loads = pack([s for s, _ in order], shards, total)
-    packed = spark.createDataFrame([(k, b) for (_, k), b in zip(order, found, strict=True)], "_key binary, shard int")
-    sand = total - sum(loads)
-    height = level(loads, sand)
-    rooms = sorted((height - x, b) for b, x in enumerate(loads) if x < height)
-    ends = list(accumulate(r for r, _ in rooms)) if sand else []
-    if ends:
-        small = groups.where(F.col("_bytes") < grain).withColumn("_small", -F.col("_bytes"))
-        poured = running_total(small, ["_small", "_key"], "_bytes", "_before")
-        at = F.least(F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e <= F.col("_before"))), F.lit(len(ends) - 1))
-        packed = packed.union(poured.select("_key", F.element_at(F.array(*(F.lit(b) for _, b in rooms)), at + 1).cast("int")))
+    sizes = groups.groupBy("_bytes").agg(F.count("*").alias("n")).toArrow()
+    runs = sorted(zip(sizes["_bytes"].to_pylist(), sizes["n"].to_pylist(), strict=True), reverse=True)
+    before = [0, *accumulate(n for _, n in runs)]
+    cuts = pack(runs, shards)
+    kinds = {"_bytes": pa.int64(), "_first": pa.int64(), "_ranks": pa.list_(pa.int64()), "_shards": pa.list_(pa.int32())}
+    columns = ([s for s, _ in runs], before[:-1], [[r for r, _ in c] for c in cuts], [[b for _, b in c] for c in cuts])
+    places = spark.createDataFrame(pa.table([pa.array(x, k) for x, k in zip(columns, kinds.values(), strict=True)], names=list(kinds)))
+    ranked = running_total(groups.select("_key", "_bytes", (-F.col("_bytes")).alias("_falling"), F.lit(1).cast("long").alias("_one")), ["_falling", "_key"], "_one", "_rank")
+    here = F.size(F.filter("_ranks", lambda r: r <= F.col("_rank") - F.col("_first")))
+    packed = ranked.join(places, "_bytes").select("_key", F.element_at("_shards", here).alias("shard"))
     placed = staged(rows.join(packed, "_key").select("doc_id", "size", "text_crc32", "shard", F.lit(1).cast("long").alias("_one")), "shard-placed")
     ranked = running_total(placed, ["shard", "doc_id", "text_crc32"], "_one", "_before")
     counts = {r[0]: r[1] for r in placed.groupBy("shard").count().collect()}

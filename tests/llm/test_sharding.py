@@ -1,7 +1,10 @@
+import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
 
+import pytest
+
 from hopweave.llm.sharding import RoomTree, pack, shard
 
 from .helpers import SCHEMA, rows, table, tuples
@@ -74,7 +77,37 @@ def test_tree_finds_the_tightest():
     assert high(tree.root) <= 1.45 * len(have).bit_length() + 1
 
 
-def test_pack_uses_few_bins():
-    sizes = sorted((7, 6, 5, 4, 3, 3, 2), reverse=True)
-    found, loads = pack(sizes, 3, sum(sizes))
-    assert max(loads) <= 11 and len(found) == 7
+def plain(data, shards):
+    """Best fit decreasing, a group at a time: the shard of each text."""
+    groups = Counter()
+    for _, t, *_ in data:
+        groups[t or ""] += len((t or "").encode()) + 16
+    order = sorted(groups, key=lambda t: (-groups[t], hashlib.sha256(t.encode()).digest()))
+    total, own, alone = sum(groups.values()), 0, 0
+    for t in order:
+        if alone == shards - 1 or groups[t] * (shards - alone) <= total - own:
+            break
+        own, alone = own + groups[t], alone + 1
+    rooms, where = [-(-(total - own) // (shards - alone))] * shards, {}
+    for t in order:
+        fit = [(r, b) for b, r in enumerate(rooms) if r >= groups[t]]
+        b = min(fit)[1] if fit else max((r, b) for b, r in enumerate(rooms))[1]
+        rooms[b] -= groups[t]
+        where[t] = b
+    return where
+
+
+@pytest.mark.parametrize(("seed", "n", "shards"), [(1, 900, 7), (2, 3000, 40), (3, 50, 40)])
+def test_like_plain_best_fit_decreasing(spark, seed, n, shards):
+    rng = random.Random(seed)
+    data = [(i, rng.choice("abcdefgh") * int(rng.paretovariate(1.1) * 4) + str(rng.randrange(n)), None, None, None) for i in range(n)]
+    data += [(n + i, None if i % 2 else "", None, None, None) for i in range(9)] + [(2 * n + i, "copies of one text", None, None, None) for i in range(n // 3)]
+    where = plain(data, shards)
+    found = dict(tuples(shard(table(spark, data, extra=False), shards), "doc_id", "shard"))
+    assert found == {i: where[t or ""] for i, t, *_ in data}
+
+
+def test_a_run_goes_through_the_tree_as_its_groups_would():
+    assert pack([(7, 1), (6, 1), (5, 1), (4, 1), (3, 2), (2, 1)], 3) == [[(0, 0)], [(0, 1)], [(0, 2)], [(0, 1)], [(0, 0), (1, 2)], [(0, 2)]]
+    assert pack([(10, 4), (1, 1000)], 4) == [[(0, 0)], [(0, 0), (220, 1), (480, 2), (740, 3)]]
+    assert pack([], 3) == []
