@@ -8,6 +8,7 @@ tree a row of an array; long ones have a tree each.
 
 import hashlib
 import json
+import sys
 import unicodedata
 
 import numpy as np
@@ -26,6 +27,46 @@ WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACE = regex.compile(f"[{WHITE}]+")
 
 
+def _ranges(text: str) -> list[tuple[int, int]]:
+    return [(int(x, 16), int(y or x, 16)) for x, _, y in (r.partition("-") for r in text.split())]
+
+
+#: Code points that are letters, or numbers, since Unicode 16, the version of the library's classes; unicodedata here is of 15.1.
+LETTERS_16 = _ranges(
+    "1c89-1c8a a7cb-a7cd a7da-a7dc 105c0-105f3 10d4a-10d65 10d6f-10d85 10ec2-10ec4 11380-11389 1138b 1138e 11390-113b5 113b7 113d1 113d3 "
+    "11bc0-11be0 13460-143fa 16100-1611d 16d40-16d6c 18cff 1e5d0-1e5ed 1e5f0"
+)
+NUMBERS_16 = _ranges("10d40-10d49 116d0-116e3 11bf0-11bf9 16130-16139 16d70-16d79 1ccf0-1ccf9 1e5f1-1e5fa")
+#: Fixed values: (first, last, offset) of the letters whose small form came after 15.1.
+LOWER_SINCE = ((0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, -42343), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, -42561), (0x10D50, 0x10D65, 32), (0x16EA0, 0x16EB8, 27))
+#: Combining marks since Unicode 9, the version of the library's normal forms, for which they are no marks.
+MARKS_SINCE = _ranges(
+    "7fd 898-89f 8ca-8d3 9fe c3c d3b-d3c eba 1715 1abf-1ace 1df6-1dfa a82c 10d24-10d27 10eab-10eac 10efd-10eff 10f46-10f50 10f82-10f85 11070 1133b 1145e 11839-1183a 11930 "
+    "1193d-1193e 11943 119e0 11a34 11a47 11a99 11d42 11d44-11d45 11d97 11f41-11f42 16ff0-16ff1 1e08f 1e130-1e136 1e2ae 1e2ec-1e2ef 1e4ec-1e4ef"
+)
+_inside = lambda ranges: "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
+NO_MARK = regex.compile(f"([{_inside(MARKS_SINCE)}])")
+NEW_CAPITAL = regex.compile(f"[{_inside((a, b) for a, b, _ in LOWER_SINCE)}]")
+NEW_SMALL = {c: c + by for a, b, by in LOWER_SINCE for c in range(a, b + 1)}
+
+
+def unicode_class(kind: str, more: list[tuple[int, int]]) -> str:
+    """The inside of a character class with all code points whose category begins with kind, and more."""
+    has = np.array([unicodedata.category(chr(c))[0] == kind for c in range(sys.maxunicode + 1)])
+    edges = np.flatnonzero(np.diff(has, prepend=False, append=False)).reshape(-1, 2)
+    return _inside([*((a, b - 1) for a, b in edges.tolist()), *more])
+
+
+def normal(text: str) -> str:
+    """The composed form with white space as one space and small letters."""
+    if NO_MARK.search(text):
+        text = "".join([p if i % 2 else unicodedata.normalize("NFC", p) for i, p in enumerate(NO_MARK.split(text))])
+    else:
+        text = unicodedata.normalize("NFC", text)
+    text = SPACE.sub(" ", text).replace("Σ", "σ").lower()
+    return text.translate(NEW_SMALL) if NEW_CAPITAL.search(text) else text
+
+
 def load(path: str) -> dict:
     """The parts of a tokenizer file of this kind that encoding needs. Its size doesn't depend on the data."""
     with open(path, encoding="utf-8") as f:
@@ -59,7 +100,7 @@ class Encoder:
         self.by_rank = made
         self.special = model["special"]
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.pattern = regex.compile(model["pattern"].replace(r"\s", WHITE))
+        self.pattern = regex.compile(model["pattern"].replace(r"\s", WHITE).replace(r"\p{L}", unicode_class("L", LETTERS_16)).replace(r"\p{N}", unicode_class("N", NUMBERS_16)))
         self.ids: dict[str, str] = {}
         self.text: dict[str, str] = {}
         self.n: dict[str, int] = {}
@@ -75,8 +116,7 @@ class Encoder:
         return out + self._split(text[at:])
 
     def _split(self, text: str) -> list[str]:
-        text = SPACE.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower()
-        return self.pattern.findall(text)
+        return self.pattern.findall(normal(text))
 
     def learn(self, pieces: set[str]) -> None:
         """Encodes the pieces that are not yet in the cache."""
@@ -217,8 +257,8 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, keep_ids: bool = True) -> D
     """doc_id, n_tokens, ids (as text, decimal, one space between; null unless keep_ids), decoded, and sha256 of both.
 
     A null text counts as empty and gives no ids. Every row gives a row, repeated ones too; a null doc_id is carried on. Empty tables
-    give no rows. Texts of any length are encoded whole. Other columns are not read. Nothing is shuffled. Characters that Unicode has
-    assigned since version 15.1 may be classed otherwise than the file's own library does.
+    give no rows. Texts of any length are encoded whole. Other columns are not read. Nothing is shuffled. All code points are
+    classed, composed and lower-cased as the file's own library does.
     """
     model = docs.sparkSession.sparkContext.broadcast(load(tokenizer_path))
     names = ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")
