@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 
 from .common import lower_az, staged
 
-#: The directory has at most 2 ** MAX_DEPTH entries, which bounds what the driver sees and what is broadcast.
+#: The directory has at most 2 ** MAX_DEPTH entries, which bounds what the driver sees and what is broadcast. What it can't divide is divided further by a second level: a
+#: directory of its own for each entry, whose depth is all that has to be known.
 MAX_DEPTH = 16
+#: Owner tasks at most; one may own several buckets.
+OWNERS = 1 << 16
 CAPACITY = 32 << 20
 FLUSH = 24 << 20
 
@@ -51,6 +54,16 @@ def directory(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return np.repeat([numbers[s] for s in slots], 1 << (deepest - depth)).astype(np.int32)
 
 
+def second_level(sizes: np.ndarray, slots: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """For each prefix the depth of its own directory (0 where it needs none) and its first bucket, and the number of buckets. Keys are hashes, so that equal parts of a
+    prefix's range hold about equally much."""
+    over = np.maximum(1, -(-sizes // max(1, capacity)))
+    deeper = np.ceil(np.log2(over)).astype(np.int64)
+    opens = np.diff(slots, prepend=-1) != 0  # a bucket that begins here; one that is divided further has this prefix alone
+    held = np.where(opens, 1 << deeper, 0)
+    return deeper, (np.cumsum(held) - (1 << deeper))[np.maximum.accumulate(np.where(opens, np.arange(len(slots)), 0))], int(held.sum())
+
+
 def _combine(batches):
     """One row for each distinct text of a stretch of a partition, so that a large group arrives as few rows."""
 
@@ -119,16 +132,15 @@ def build_index(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     sizes = np.zeros(1 << MAX_DEPTH, np.int64)
     sizes[found["prefix"].to_numpy(int)] = found["bytes"]
     slots = directory(sizes, capacity)
-    buckets = int(slots[-1]) + 1
-    starts = np.flatnonzero(np.diff(slots, prepend=-1))  # a bucket is a range of prefixes; as many ranges as buckets
-    spark = docs.sparkSession
-    table = spark.createDataFrame([(int(p), int(slots[p])) for p in np.arange(1 << MAX_DEPTH)] if buckets > 1 else [(0, 0)], "prefix int, bucket int") if len(starts) > 1 else None
+    deeper, first, buckets = second_level(sizes, slots, capacity)
     rows = keyed.mapInArrow(_combine, "key long, text string, keep_id long, n long")
-    if table is None:
+    if buckets == 1:
         rows = rows.withColumn("bucket", F.lit(0))
     else:
-        rows = rows.withColumn("prefix", prefix).join(F.broadcast(table), "prefix")
-    owned = rows.select("bucket", "key", "text", "keep_id", "n").repartition(buckets, "bucket").sortWithinPartitions("bucket", "key")
+        table = docs.sparkSession.createDataFrame(pa.table({"prefix": pa.array(np.arange(1 << MAX_DEPTH, dtype=np.int32)), "_first": pa.array(first), "_deeper": pa.array(deeper)}))
+        within = F.expr(f"if(_deeper = 0, 0L, shiftrightunsigned(shiftleft(key, {MAX_DEPTH}), cast(64 - _deeper as int)))")
+        rows = rows.withColumn("prefix", prefix).join(F.broadcast(table), "prefix").withColumn("bucket", (F.col("_first") + within).cast("int"))
+    owned = rows.select("bucket", "key", "text", "keep_id", "n").repartition(min(buckets, OWNERS), "bucket").sortWithinPartitions("bucket", "key")
     return staged(owned.mapInArrow(_own, _ENTRY), "extendible-hash")
 
 

@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 
+from hopweave.llm import exact_dedup as ed
 from hopweave.llm.exact_dedup import build_index, directory, exact_dedup
 
 from .helpers import SCHEMA, low, rows, table, tuples
@@ -48,3 +49,13 @@ def test_buckets_keep_to_their_capacity(spark):
     index = build_index(table(spark, [(i, f"text number {i}" * 20, None, None, None) for i in range(400)]), 20_000)
     sizes = [r[0] for r in index.groupBy("bucket").agg({"text": "count"}).select("count(text)").collect()]
     assert len(sizes) > 3 and sum(sizes) == 400
+
+
+def test_a_second_level_where_the_directory_ends(spark, monkeypatch):
+    monkeypatch.setattr(ed, "MAX_DEPTH", 2)
+    data = rows() + [(1000 + i, f"text number {i // 2}" * 20, None, None, None) for i in range(600)]
+    key = lambda r: tuple(map(str, r))
+    assert sorted(tuples(exact_dedup(table(spark, data), 4000)), key=key) == sorted(brute(data), key=key)
+    index = build_index(table(spark, data), 4000)
+    keys = sorted((r["key"] % (1 << 64), r["bucket"]) for r in index.collect())
+    assert len({b for _, b in keys}) > 20 and [b for _, b in keys] == sorted(b for _, b in keys)  # buckets are ranges of keys
