@@ -2,7 +2,8 @@
 
 The kernel of two texts is the number of character n-grams (n from 1 to 3, lower-cased, hashed to 2 ** BITS features) that both
 contain, over the root of the product of their own numbers. Landmark texts span a Nyström map of the kernel; one-versus-rest ridge
-regression on that map gives a score for each language. A batch of texts is scored by two matrix products.
+regression on that map gives a score for each language. A batch of texts is scored by matrix products: its presence matrix, times that of the landmarks, times the
+weights. The last two are multiplied once, when the model is fitted, so that a model has a row a feature and a column a language, however many landmarks there are.
 """
 
 import numpy as np
@@ -14,10 +15,10 @@ from .common import staged
 
 BITS = 16
 GRAMS = 3
-#: The training sample: so many rows of each language, and of so many languages, the most frequent ones. The sample doesn't grow with the input.
-ROWS = 200
-LANGUAGES = 64
-LANDMARKS = 24
+#: The training sample: so many rows of each language at most, fewer where there are so many languages that SAMPLE rows don't do, but LEAST each. Every language has a class.
+ROWS, SAMPLE, LEAST = 200, 12_800, 20
+#: Landmarks of each language at most, and in all, but one each.
+LANDMARKS, MARKS = 24, 512
 RIDGE = 1e-2
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
@@ -42,35 +43,55 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(c.isalpha() for c in text)
 
 
+#: Rows whose features are spread out at a time.
+BLOCK = 256
+
+
 class KernelRidge:
-    """One-versus-rest kernel ridge regression on the Nyström map of the landmarks."""
+    """One-versus-rest kernel ridge regression on the Nyström map of the landmarks. packed: the features of each row as bits."""
 
     def __init__(self, packed: list[bytes], langs: list[str]):
-        grams = np.unpackbits(np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), -1), axis=1)
+        bits = np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), -1)
+        root = np.sqrt(np.maximum(1, np.bitwise_count(bits).sum(axis=1, dtype=np.int64)))
         self.classes = sorted(set(langs))
+        each = max(1, min(LANDMARKS, MARKS // len(self.classes)))
         marks, seen = [], dict.fromkeys(self.classes, 0)
         for i, lang in enumerate(langs):
-            if seen[lang] < LANDMARKS:
+            if seen[lang] < each:
                 seen[lang] += 1
                 marks.append(i)
-        self.features = np.flatnonzero(grams[marks].any(axis=0))
-        self.marks = np.ascontiguousarray(grams[marks][:, self.features].T, np.float32)
-        self.size = np.sqrt(np.maximum(1, grams[marks].sum(axis=1, dtype=np.int64))).astype(np.float32)
-        kernel = self.kernel(grams[:, self.features], grams.sum(axis=1, dtype=np.int64))
+        spread = lambda rows: np.unpackbits(bits[rows], axis=1).astype(np.float32)
+        blocks = [marks[i : i + BLOCK] for i in range(0, len(marks), BLOCK)]
+        kernel = np.empty((len(langs), len(marks)), np.float32)
+        at = 0
+        for block in blocks:
+            side = spread(block).T
+            for i in range(0, len(langs), BLOCK):
+                rows = slice(i, i + BLOCK)
+                kernel[rows, at : at + len(block)] = spread(rows) @ side / root[rows, None] / root[block]
+            at += len(block)
+        self.landmarks = len(marks)
         values, vectors = np.linalg.eigh(kernel[marks].astype(np.float64))
         good = values > 1e-6 * values[-1]
-        self.map = vectors[:, good] / np.sqrt(values[good])
-        x = np.hstack([kernel @ self.map, np.ones((len(langs), 1))])
-        y = np.where(np.array(langs)[:, None] == np.array(self.classes), 1.0, -1.0)
-        weight = 1 / y.clip(0).sum(axis=0)[np.argmax(y, axis=1)]  # each language weighs the same
+        span = vectors[:, good] / np.sqrt(values[good])
+        x = np.hstack([kernel @ span, np.ones((len(langs), 1))])
+        number = {c: k for k, c in enumerate(self.classes)}
+        own = np.array([number[x] for x in langs])
+        weight = 1 / np.bincount(own)[own]  # each language weighs the same
+        y = np.where(own[:, None] == np.arange(len(self.classes)), 1.0, -1.0)
         solved = np.linalg.solve(x.T @ (x * weight[:, None]) + RIDGE / len(self.classes) * np.eye(x.shape[1]), x.T @ (y * weight[:, None]))
-        self.weights, self.bias = (self.map @ solved[:-1]).astype(np.float32), solved[-1]
-
-    def kernel(self, grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        return grams.astype(np.float32) @ self.marks / np.sqrt(np.maximum(1, sizes))[:, None].astype(np.float32) / self.size
+        self.bias = solved[-1]
+        weights, at = (span @ solved[:-1] / root[marks, None]).astype(np.float32), 0
+        folded = np.zeros((bits.shape[1] * 8, len(self.classes)), np.float32)
+        for block in blocks:
+            folded += spread(block).T @ weights[at : at + len(block)]
+            at += len(block)
+        self.features = np.flatnonzero(folded.any(axis=1))
+        self.weights = folded[self.features]
 
     def predict(self, grams: np.ndarray, sizes: np.ndarray) -> tuple[list[str], np.ndarray]:
-        margin = self.kernel(grams, sizes) @ self.weights + self.bias
+        """grams: for each text which of self.features it has; sizes: how many features it has in all. Of languages that tie the first by name is taken."""
+        margin = grams.astype(np.float32) @ self.weights / np.sqrt(np.maximum(1, sizes))[:, None] + self.bias
         best = margin.argmax(axis=1)
         return [self.classes[i] for i in best], np.clip((margin[np.arange(len(best)), best] + 1) / 2, 0, 1)
 
@@ -84,11 +105,10 @@ def fit(docs: DataFrame) -> KernelRidge | None:
             yield b.select(["doc_id", "lang", "_print"]).filter(pa.array([has_letter(t.as_py()) for t in b.column("text")], pa.bool_()))
 
     useful = staged(rows.mapInArrow(lettered, rows.drop("text").schema).distinct(), "language-rows")
-    top = Window.orderBy(F.desc("count"), "lang")
-    langs = useful.groupBy("lang").count().withColumn("_at", F.row_number().over(top)).where(F.col("_at") <= LANGUAGES)
+    rows_each = min(ROWS, max(LEAST, SAMPLE // max(1, useful.select("lang").distinct().count())))
     least = Window.partitionBy("lang").orderBy("_hash", "doc_id", "_print")
-    picked = useful.select("lang", "doc_id", "_print", F.xxhash64("doc_id").alias("_hash")).join(F.broadcast(langs.select("lang")), "lang").withColumn("_at", F.row_number().over(least)).where(F.col("_at") <= ROWS)
-    ids = picked.select(F.col("lang").alias("_lang"), F.col("doc_id").alias("_id"), F.col("_print").alias("_same"))  # ROWS * LANGUAGES rows at most
+    picked = useful.select("lang", "doc_id", "_print", F.xxhash64("doc_id").alias("_hash")).withColumn("_at", F.row_number().over(least)).where(F.col("_at") <= rows_each)
+    ids = picked.select(F.col("lang").alias("_lang"), F.col("doc_id").alias("_id"), F.col("_print").alias("_same"))  # SAMPLE rows at most, or LEAST a language
 
     def pack(batches):
         for b in batches:
@@ -105,7 +125,7 @@ def fit(docs: DataFrame) -> KernelRidge | None:
 def identify(docs: DataFrame, model: KernelRidge | None, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, lang_pred and score (0 to 1) of every row; lang_pred is `und` with score 0 if the text is null or has no letter, or if there is no model.
 
-    Only the text is read. Repeated rows give the same again; null ids are carried on; empty tables give no rows. The columns in carry go along with their rows.
+    Only the text is read; of languages that tie the first by name is taken. Repeated rows give the same again; null ids are carried on; empty tables give no rows. The columns in carry go along with their rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model and vars(model))
 
