@@ -108,9 +108,12 @@ def oracle_sql() -> dict[str, str]:
             ), v as (
                 select *, sum(length(seg)) over (partition by conv_id, speaker, stretch, piece order by rk) as stop from u
             )
-            select conv_id, speaker, stretch, piece, count(*) as n_turns, count(*) filter (own) as n_own, string_agg(seg, '' order by rk) as rendered,
-                coalesce(string_agg(cast(cast(stop - length(seg) + length(head) as bigint) as varchar) || '-' || cast(cast(stop as bigint) as varchar), ',' order by rk) filter (own), '') as masks
-            from v group by conv_id, speaker, stretch, piece""",
+            , g as (
+                select conv_id, speaker, stretch, piece, count(*) as n_turns, count(*) filter (own) as n_own, string_agg(seg, '' order by rk) as rendered,
+                    coalesce(string_agg(cast(cast(stop - length(seg) + length(head) as bigint) as varchar) || '-' || cast(cast(stop as bigint) as varchar), ',' order by rk) filter (own), '') as masks
+                from v group by conv_id, speaker, stretch, piece
+            )
+            select *, cast(coalesce(sum(length(rendered)) over (partition by conv_id, speaker order by stretch nulls last, piece rows between unbounded preceding and 1 preceding), 0) as bigint) as begins from g""",
         "op5_near_dedup": f"""
             with recursive d as (
                 select doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') as w from documents

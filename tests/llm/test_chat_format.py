@@ -20,6 +20,7 @@ def brute(data):
                 at = (stretch, at[1] + 1)
             pieces.setdefault(at, []).append(r)
         for speaker in speakers:
+            begins = 0
             for (stretch, piece), turns in pieces.items():
                 text, masks = "", []
                 for _, _, role, words in turns:
@@ -28,7 +29,8 @@ def brute(data):
                     text += head + (words or "") + "<|im_end|>\n"
                     if role == speaker:
                         masks.append((start, len(text)))
-                out[conv, speaker, stretch, piece] = (len(turns), len(masks), text, masks)
+                out[conv, speaker, stretch, piece] = (begins, len(turns), len(masks), text, masks)
+                begins += len(text)
     return out
 
 
@@ -37,10 +39,10 @@ def test_like_brute_force(spark):
     data += [(2, 0, "system", "alone"), (None, 0, "ann", "no conversation"), (None, 1, "bob", "x")]
     data += [(3, t, "ab"[t % 2], "word " * (t % 5)) for t in range(300)] + [(3, 7, "b", "again")] * 2
     data += [(4, 1, "ann", "tie")] * 600 + [(5, 0, "assistant", "\U0001f600 long " * 20_000), (5, 1, "user", "ok")]
-    df = spark.createDataFrame(data, SCHEMA).repartition(3).selectExpr("*", "'x' as speaker", "'x' as stretch", "'x' as _at", "'x' as turns")
-    found = {(c, s, st, p): (n, own, text, [tuple(m) for m in masks]) for c, s, st, p, n, own, text, masks in tuples(rotate(df))}
+    df = spark.createDataFrame(data, SCHEMA).repartition(3).selectExpr("*", "'x' as speaker", "'x' as stretch", "'x' as _at", "'x' as turns", "'x' as begins", "'x' as rendered")
+    found = {(c, s, st, p): (b, n, own, text, [tuple(m) for m in masks]) for c, s, st, p, b, n, own, text, masks in tuples(rotate(df))}
     assert found == brute(data)
-    for n, own, text, masks in found.values():
+    for _, n, own, text, masks in found.values():
         assert all(text[:a].endswith("assistant\n") and text[a:b].endswith("<|im_end|>\n") for a, b in masks)
 
 
