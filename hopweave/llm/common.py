@@ -17,9 +17,11 @@ def lower_az(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share. One is made only where the session names none, as in tests."""
+    """The folder that the driver and all executors share. One is made only in a local session that names none, as in tests; a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-hopweave-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

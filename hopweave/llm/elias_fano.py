@@ -1,21 +1,30 @@
 """Elias-Fano sequences: sorted integers in about 2 + log2(universe / n) bits each, searched without decoding."""
 
 import mmap
-import tempfile
 
 import numpy as np
 
 
-def mapped(arrays: list[np.ndarray]) -> list[np.ndarray]:
-    """The arrays as read-only views of a memory-mapped temporary file, which goes with the last view."""
-    with tempfile.TemporaryFile() as file:
-        at = []
-        for a in arrays:
-            at.append(file.tell())
-            file.write(a.tobytes() + bytes(8 - a.nbytes % 8))
-        file.flush()
-        view = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
-    return [np.frombuffer(view, a.dtype, a.size, start) for a, start in zip(arrays, at, strict=True)]
+def packed(arrays: list[np.ndarray]) -> bytes:
+    """The arrays one after another, each from a multiple of 8 bytes on, behind a table of their types and sizes."""
+    head = np.array([(KINDS.index(a.dtype.str), len(a)) for a in arrays], np.int64)
+    return b"".join([np.int64(len(arrays)).tobytes(), head.tobytes(), *(a.tobytes() + bytes(-a.nbytes % 8) for a in arrays)])
+
+
+#: Types that packed() knows.
+KINDS = ("|u1", "<i4", "<u2", "<i8", "<u8", "<f4")
+
+
+def mapped(data: bytes) -> list[np.ndarray]:
+    """The arrays of packed() as read-only views of a memory map, so that a level is paged and searched in place. The map is anonymous, since a task has no file of its own on a cluster."""
+    view = mmap.mmap(-1, max(8, len(data)))
+    view.write(data)
+    n = int(np.frombuffer(view, np.int64, 1)[0])
+    out, at = [], 8 + 16 * n
+    for kind, size in np.frombuffer(view, np.int64, 2 * n, 8).reshape(n, 2).tolist():
+        out.append(np.frombuffer(view, KINDS[kind], size, at))
+        at += -(-out[-1].nbytes // 8) * 8
+    return out
 
 
 class EliasFano:

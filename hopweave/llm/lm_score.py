@@ -2,10 +2,11 @@
 
 A bigram model with interpolated absolute discounting: P(w | v) = q(v, w) + b(v) * P(w). The trie is cut into shards by the context's hash. A shard's first level holds its contexts with their counts, numbers of
 successors and monotone pointers; the second level holds, in the range that its pointers give, each context's successors relative to the context, with
-quantised q. All sequences are Elias-Fano coded flat arrays without Python objects, memory-mapped from one file a shard.
+quantised q. All sequences are Elias-Fano coded flat arrays without Python objects, memory-mapped; each shard's levels are kept in a column of a table on shared files.
 
 Texts are dealt to chunks. A chunk asks each shard once for its distinct bigrams, which carry the chunk's training counts at the same time: the shard first adds up the counts of all
-chunks, builds its trie, then answers every chunk by successor search. So each distinct bigram of a chunk is shuffled once, and the answer is a byte.
+chunks, builds its trie, then answers every chunk by successor search. So each distinct bigram of a chunk is shuffled once, and the answer is two bytes. A chunk has a row for
+each shard that it has contexts for: as many as there are shards, and never more than it has contexts.
 
 The most frequent contexts would fill a shard each. They are found first, and each is cut into parts by its successors' hashes; the parts are
 contexts of their own, in shards of their own. A chunk asks all parts of such a context that it has, and adds up what they hold.
@@ -17,11 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
-from .elias_fano import EliasFano, mapped
+from .elias_fano import EliasFano, mapped, packed
 from .near_dedup import WordHashes, mixed
 
 #: Bytes of text in a chunk and tokens asked of a shard, about; both bound a task's memory, and their numbers grow with the input.
 CHUNK = 8 << 20
+#: Rows in a chunk, about.
+ROWS = 100_000
 SHARD = 3_000_000
 DISCOUNT = 0.75
 #: Stand-ins for the hash of the beginning, which is a context only, and of the end, which is a token only.
@@ -29,7 +32,9 @@ BEGIN, END = np.uint64(0x5DEECE66D1234567), np.uint64(0xB5026F5AA96619E9)
 
 _U64 = np.uint64
 _ASK = "shard int, chunk long, v binary, nv binary, w binary, c binary"
-_TELL = "chunk long, shard int, c binary, followers binary, code binary, book binary, tokens long, words long, texts long, split array<long>"
+_TELL = "chunk long, shard int, c binary, followers binary, code binary, trie binary, tokens long, words long, texts long, split array<long>"
+#: Steps of the quantised logarithms, the same for all shards.
+STEPS = 4096
 
 
 def held_out(doc_id: Column) -> Column:
@@ -153,14 +158,14 @@ def _starts_of(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
-def codebook(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes from 1 to 255 and what they stand for: bins of equal width, each standing for the mean of its values."""
-    if not len(values):
-        return np.empty(0, np.uint8), np.zeros(256, np.float32)
-    low, high = values.min(), values.max()
-    code = 1 + np.minimum((values - low) * (255 / max(high - low, 1e-9)), 254).astype(np.int64)
-    n = np.bincount(code, minlength=256)
-    return code.astype(np.uint8), (np.bincount(code, values, minlength=256) / np.maximum(1, n)).astype(np.float32)
+def coded(power: np.ndarray) -> np.ndarray:
+    """Codes of log10 probabilities, from 1 on, 1 / STEPS apart; 0 is left for what isn't there."""
+    return (1 + np.minimum(np.rint(-power * STEPS), 65534)).astype(np.uint16)
+
+
+def decoded(code: np.ndarray) -> np.ndarray:
+    """The probabilities."""
+    return np.where(code > 0, 10.0 ** ((1 - code.astype(np.float64)) / STEPS), 0.0)
 
 
 class TrieShard:
@@ -179,9 +184,10 @@ class TrieShard:
         self.contexts = EliasFano(v[starts], 1 << 64)
         self.pointers = EliasFano(np.append(starts, len(v)).astype(_U64), len(v) + 1)
         self.children = EliasFano((context * self.width + np.searchsorted(words, w)).astype(_U64), max(1, self.n * self.width))
-        code, self.book = codebook(np.log10((count - DISCOUNT) / total[context]) if len(v) else np.empty(0))
+        code = coded(np.log10((count - DISCOUNT) / total[context]) if len(v) else np.empty(0))
         levels = (self.contexts, self.pointers, self.children)
-        arrays = mapped([total, words, code, *(x for e in levels for x in (e.low, e.high))])
+        self.data = packed([total.astype(np.int64), words, code, *(x for e in levels for x in (e.low, e.high))])
+        arrays = mapped(self.data)
         self.count, self.words, self.code = arrays[:3]
         for e, low, high in zip(levels, arrays[3::2], arrays[4::2], strict=True):
             e.low, e.high = low, high
@@ -200,7 +206,7 @@ class TrieShard:
         here = np.minimum(relative, len(self.words) - 1)
         at, found = self.children.successor((context * self.width + relative).astype(_U64))
         found &= self.words[here] == w
-        return np.where(found, self.code[np.where(found, at, 0)], 0).astype(np.uint8)
+        return np.where(found, self.code[np.where(found, at, 0)], 0).astype(np.uint16)
 
 
 def _answers(hot: Hot):
@@ -219,7 +225,7 @@ def _answers(hot: Hot):
         begins = (own == BEGIN) | (owner >= 0) & (hot.words[owner] == BEGIN) if len(hot.words) else own == BEGIN
         split = np.unique(owner[(owner >= 0) & ~begins]).tolist()
         del order, sv, sw, at, each
-        out = [(-1, key[0].as_py(), None, None, None, None, int(trie.count[~begins].sum()), int((~begins & (owner < 0)).sum()), int(trie.count[begins].sum()), split)]
+        out = [(-1, key[0].as_py(), None, None, None, trie.data, int(trie.count[~begins].sum()), int((~begins & (owner < 0)).sum()), int(trie.count[begins].sum()), split)]
         for chunk, v, nv, w in zip(table["chunk"].to_pylist(), vs, nvs, ws, strict=True):
             if trie.n:
                 context, found = trie.context(v)
@@ -227,8 +233,8 @@ def _answers(hot: Hot):
                 code = trie.child(np.repeat(context, nv), w)
                 code[~np.repeat(found, nv)] = 0
             else:
-                count, followers, code = np.zeros(len(v), np.int64), np.zeros(len(v), np.int64), np.zeros(len(w), np.uint8)
-            out.append((chunk, key[0].as_py(), count.astype(np.int64).tobytes(), followers.astype(np.uint32).tobytes(), code.tobytes(), trie.book.tobytes(), None, None, None, None))
+                count, followers, code = np.zeros(len(v), np.int64), np.zeros(len(v), np.int64), np.zeros(len(w), np.uint16)
+            out.append((chunk, key[0].as_py(), count.astype(np.int64).tobytes(), followers.astype(np.uint32).tobytes(), code.tobytes(), None, None, None, None, None))
         kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 4, pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
         return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split(" ")[0] for x in _TELL.split(", ")])
 
@@ -242,8 +248,8 @@ def lm_score(docs: DataFrame) -> DataFrame:
     text. A null or empty text is its end only. Repeated rows count as often as they come; a null id counts as the empty text when rows are held out. Without training rows both scores
     follow from counts of 0; empty tables give no rows. Other columns are not read.
     """
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks, shards = size // CHUNK + 1, size // (6 * SHARD) + 1
+    size, n = (x or 0 for x in docs.agg(F.sum(F.octet_length("text")), F.count("*")).first())
+    chunks, shards = max(size // CHUNK, n // ROWS) + 1, size // (6 * SHARD) + 1
     chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk")
     rows = docs.select("doc_id", "text", (~held_out(F.col("doc_id"))).alias("train"), chunk)
     hot = hot_contexts(rows, shards)
@@ -272,7 +278,7 @@ def lm_score(docs: DataFrame) -> DataFrame:
         answer = answer.sort_by("shard").to_pylist()
         get = lambda name, kind: np.concatenate([np.frombuffer(a[name], kind) for a in answer])
         own = get("c", np.int64)
-        direct = np.concatenate([_power(a["book"], np.frombuffer(a["code"], np.uint8)) for a in answer])
+        direct = decoded(get("code", np.uint16))
         word, of = np.unique(found.v, return_inverse=True)
         count = np.bincount(of, own, minlength=len(word)).astype(np.int64)
         followers = np.bincount(of, get("followers", np.uint32), minlength=len(word))
@@ -288,9 +294,5 @@ def lm_score(docs: DataFrame) -> DataFrame:
         data = (table["doc_id"].cast(pa.int64()), pa.array(~table["train"].to_numpy()), pa.array(found.sizes), pa.array(add((known > 0).astype(np.int64))), pa.array(np.full(len(starts), total, np.int64)), pa.array(add(np.log10(single))), pa.array(add(model)))
         return pa.table(data, names=names)
 
-    answers = told.where("chunk >= 0").drop("tokens", "words", "texts", "split")
+    answers = told.where("chunk >= 0").select("chunk", "shard", "c", "followers", "code")
     return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-def _power(book: bytes, code: np.ndarray) -> np.ndarray:
-    return np.where(code > 0, 10.0 ** np.frombuffer(book, np.float32)[code].astype(np.float64), 0.0)
