@@ -27,11 +27,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to a new table in the shared folder and reads it back, which cuts the lineage and survives lost executors."""
+def staged(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
+    """Writes df to a new table in the shared folder and reads it back, which cuts the lineage and survives lost executors. options: of the writer."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

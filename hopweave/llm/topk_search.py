@@ -5,9 +5,10 @@ posting list for each, and the lengths and ids of its documents, again with like
 length are added up over all shards, so a shard scores as one index over everything would, and its best k merge exactly.
 
 A query first meets the shard of its own kind, then a few others, then four times as many, and so on. The k-th best score so far is the floor for the shards to come: one whose
-words' upper bounds together can't reach it is passed by, and others return only what reaches it. Within a shard the lists of rare words are added up first. The lists of common words follow by falling upper bound, in steps, on those documents only whose
-sum so far, plus the block maxima of the lists still to come, can reach the k-th best score; the lists behind the pivot, whose bounds together can't, are looked up for the last
-candidates alone. Final scores are computed in double precision, word by word in one fixed order, so equal texts tie exactly.
+words' upper bounds together can't reach it is passed by, and others return only what reaches it. Within a shard the blocks of all lists end at the same documents, so the cursors of a query's lists
+move from block to block together: the sum of the lists' block maxima says whether a block can hold a document that reaches the k-th best score (a pivot); all blocks up to the next
+pivot are skipped, and its documents are scored, which raises the score to be reached by the blocks behind it. The sums of the maxima of all blocks are one product of the query's weights and the
+maxima. Final scores are computed in double precision, word by word in one fixed order, so equal texts tie exactly.
 
 Queries come in blocks of bounded size, each broadcast to the shards in turn.
 """
@@ -28,8 +29,10 @@ QUERY_WORDS = 2_000_000
 BLOCK = 32
 #: A word is common in a shard if more than one document in so many has it.
 COMMON = 16
-#: Common lists that are added up in the first step, and the number of words that documents are ordered by.
-STEP, ORDER = 8, 24
+#: Pivot blocks that are scored before the score to be reached is first raised; then twice as many each time. ORDER: words that documents are ordered by.
+STEP, ORDER = 4, 24
+#: What a query counts in a block besides its words, so that a block has a bounded number of queries too.
+EACH = 100
 #: Documents that the dealing of documents to shards is fitted on, for each shard and in all. It has no influence on results.
 SAMPLE, SAMPLES = 100, 200_000
 #: Shards in the first round after a query's own; each round has four times as many.
@@ -46,6 +49,15 @@ def word_hashes(text: str | None, seen: WordHashes) -> np.ndarray:
     return np.fromiter(map(seen.__getitem__, words), _U64, len(words))
 
 
+def small(values: np.ndarray) -> bytes:
+    """Counts as bytes if they are small enough, else as integers of four; their number tells which."""
+    return values.astype(np.uint8 if len(values) and values.max() < 256 else np.uint32).tobytes()
+
+
+def large(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint8 if len(data) == n else np.uint32).astype(np.int32)
+
+
 def build_shard(found: list[tuple[np.ndarray, np.ndarray]], ids: list[int | None]) -> dict[str, bytes]:
     """The arrays of one shard from each document's distinct words and their counts. ids: null ids become 0, and a bit for each document says whether it has one."""
     sizes = np.array([len(w) for w, _ in found], np.int64)
@@ -67,7 +79,7 @@ def build_shard(found: list[tuple[np.ndarray, np.ndarray]], ids: list[int | None
     place[order] = np.arange(len(order), dtype=np.int32)
     by = np.lexsort((place[doc], at))
     return {
-        "words": words.tobytes(), "starts": np.concatenate([[0], np.cumsum(df)]).astype(np.int64).tobytes(), "docs": place[doc][by].tobytes(), "tf": tf[by].tobytes(),
+        "words": words.tobytes(), "starts": np.concatenate([[0], np.cumsum(df)]).astype(np.int64).tobytes(), "docs": place[doc][by].astype(np.uint16 if len(found) <= 1 << 16 else np.uint32).tobytes(), "tf": small(tf[by]),
         "lengths": lengths[order].tobytes(), "ids": np.array([0 if i is None else i for i in ids], np.int64)[order].tobytes(),
         "named": np.packbits(np.array([i is not None for i in ids], bool)[order]).tobytes(),
     }
@@ -78,9 +90,10 @@ class Shard:
 
     def __init__(self, row: dict[str, bytes], mean: float, vocabulary: np.ndarray):
         self.words, self.starts = np.frombuffer(row["words"], _U64), np.frombuffer(row["starts"], np.int64)
-        self.docs, self.tf = np.frombuffer(row["docs"], np.int32), np.frombuffer(row["tf"], np.int32)
         self.ids = np.frombuffer(row["ids"], np.int64)
         self.n = len(self.ids)
+        self.docs = np.frombuffer(row["docs"], np.uint16 if self.n <= 1 << 16 else np.uint32).astype(np.int32)
+        self.tf = large(row["tf"], len(self.docs))
         self.norm = K1 * (1 - B + B * np.frombuffer(row["lengths"], np.int64) / max(mean, 1e-9))
         self.impact = (self.tf * (K1 + 1) / (self.tf + self.norm[self.docs])).astype(np.float32)
         at = np.searchsorted(self.words, vocabulary)
@@ -100,7 +113,6 @@ class Shard:
             part = slice(self.begin[v], self.end[v])
             self.dense[r, self.docs[part]] = self.impact[part]
         self.most = self.dense.reshape(len(common), self.blocks, BLOCK).max(axis=2) if self.n else np.zeros((0, 0), np.float32)
-        self.bound = self.limit[common].astype(np.float32)
         self.by_id = np.argsort(self.ids, kind="stable")
         self.sorted_ids = self.ids[self.by_id]
         self.nameless = np.flatnonzero(np.unpackbits(np.frombuffer(row["named"], np.uint8), count=self.n) == 0)
@@ -118,43 +130,39 @@ class Shard:
         words, weight = words[here], weight[here]
         if not len(words) or weight @ self.limit[words] * SLACK < floor:
             return []
-        rare = self.row[words] < 0
-        at, of = self.entries(words[rare])
-        score = np.bincount(self.docs[at], weight[rare][of] * self.impact[at], minlength=self.blocks * BLOCK).astype(np.float32)
+        # sums of block maxima: common lists have a row of them, rare ones have them where their postings are
+        common = self.row[words] >= 0
+        rows, factor = self.row[words[common]], weight[common].astype(np.float32)
+        at, of = self.entries(words[~common])
+        gain, doc = weight[~common][of] * self.impact[at], self.docs[at]
+        reach = (factor @ self.most[rows]).astype(np.float64)
+        if len(at):
+            cell = of * self.blocks + doc // BLOCK
+            first = np.flatnonzero(np.diff(cell, prepend=-1))
+            reach += np.bincount(cell[first] % self.blocks, np.maximum.reduceat(gain, first), minlength=self.blocks)
+        reach *= SLACK
+        base = np.bincount(doc, gain, minlength=self.blocks * BLOCK).astype(np.float32)
         a, b = np.searchsorted(self.sorted_ids, [query, query + 1])
-        score[self.by_id[a:b]] = -np.inf
-        score[self.nameless] = -np.inf
-        rows, factor = self.row[words[~rare]], weight[~rare].astype(np.float32)
-        order = np.argsort(-factor * self.bound[rows])
-        rows, factor = rows[order], factor[order]
-        rest = np.append(np.cumsum((factor * self.bound[rows])[::-1])[::-1], 0)
-        theta = max(floor, _kth(score, k))
-        most = (factor @ self.most[rows]) * SLACK  # of each block, what the lists to come can add
-        reach = score.reshape(self.blocks, BLOCK).max(axis=1) + most >= theta
-        live = (np.flatnonzero(reach)[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-        score = score[live]
+        base[self.by_id[a:b]] = -np.inf
+        base[self.nameless] = -np.inf
+        theta, live, score = floor, np.empty(0, np.int64), np.empty(0, np.float32)
+        pivots = np.flatnonzero(reach >= theta)
+        if len(pivots) > STEP:  # the most promising first, so that much can be skipped; then in order
+            top = np.argpartition(-reach[pivots], STEP)[:STEP]
+            pivots = np.concatenate([pivots[top], np.delete(pivots, top)])
         i, step = 0, STEP
-        while i < len(rows) and rest[i] * SLACK >= theta:
-            keep = score * SLACK + most[live // BLOCK] >= theta
-            if 4 * np.count_nonzero(keep) < 3 * len(keep):
-                live, score = live[keep], score[keep]
-            if not len(live):
-                return []
-            now = rows[i : i + step]
-            score = score + factor[i : i + step] @ (self.dense[np.ix_(now, live)] if 2 * len(live) < self.dense.shape[1] else self.dense[now][:, live])
+        while i < len(pivots):
+            now = pivots[i : i + step]
+            now = now[reach[now] >= theta]
             i, step = i + step, 2 * step
+            if not len(now):
+                continue
+            docs = (now[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            found = base[docs] + factor @ self.dense[np.ix_(rows, docs)]
+            keep = (found * SLACK >= theta) & (found > 0)
+            live, score = np.append(live, docs[keep]), np.append(score, found[keep])
             theta = max(theta, _kth(score, k))
-            most = (factor[i:] @ self.most[rows[i:]]) * SLACK
-        keep = (score + rest[min(i, len(rows))]) * SLACK >= theta
-        live, score = live[keep], score[keep]
-        if i < len(rows):  # behind the pivot: block maxima, then the rest
-            keep = score * SLACK + most[live // BLOCK] >= theta
-            live, score = live[keep], score[keep]
-            score = score + factor[i:] @ self.dense[np.ix_(rows[i:], live)]
-            theta = max(theta, _kth(score, k))
-            keep = score * SLACK >= theta
-            live, score = live[keep], score[keep]
-        live = live[score > 0]
+        live = live[score * SLACK >= theta]
         if not len(live):
             return []
         exact = self._exact(words, weight, live)
@@ -227,7 +235,7 @@ def prepare(docs: DataFrame, shard: int = SHARD) -> DataFrame:
             low, high = np.searchsorted(bounds, kind, side="left"), np.searchsorted(bounds, kind, side="right")
             deal = b.column("deal").to_numpy().view(_U64)
             at = (low + (deal % (high - low + 1).astype(_U64)).astype(np.int64)) * fold + ((deal >> _U64(32)) % _U64(fold)).astype(np.int64)
-            columns = [b.column("doc_id"), pa.array(at, pa.int32()), pa.array([w.tobytes() for w, _ in found], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c in found], pa.binary())]
+            columns = [b.column("doc_id"), pa.array(at, pa.int32()), pa.array([w.tobytes() for w, _ in found], pa.binary()), pa.array([small(c) for _, c in found], pa.binary())]
             yield pa.record_batch(columns, names=["doc_id", "shard", "words", "counts"])
 
     deal = F.xxhash64("doc_id", "text", F.monotonically_increasing_id()).alias("deal")
@@ -235,14 +243,14 @@ def prepare(docs: DataFrame, shard: int = SHARD) -> DataFrame:
 
 
 def _build(key, table):
-    found = [(np.frombuffer(w, _U64), np.frombuffer(c, np.int32)) for w, c in zip(table["words"].to_pylist(), table["counts"].to_pylist(), strict=True)]
+    found = [(np.frombuffer(w, _U64), large(c, len(w) // 8)) for w, c in zip(table["words"].to_pylist(), table["counts"].to_pylist(), strict=True)]
     row = build_shard(found, table["doc_id"].to_pylist())
     return pa.table([pa.array([key[0].as_py()], pa.int32()), *(pa.array([x], pa.binary()) for x in row.values())], names=["shard", *row])
 
 
 def build_index(prepared: DataFrame) -> DataFrame:
-    """A row for each shard, on shared files."""
-    return staged(prepared.groupBy("shard").applyInArrow(_build, _INDEX), "search-index")
+    """A row for each shard, on shared files. Row groups are of about one shard, so that a reader holds one at a time."""
+    return staged(prepared.groupBy("shard").applyInArrow(_build, _INDEX), "search-index", {"parquet.block.size": 1 << 20})
 
 
 def _lengths(batches):
@@ -256,11 +264,12 @@ def search(index: DataFrame, queries: DataFrame, k: int = K, block: int = QUERY_
 
     The score is the sum over the query's distinct words of ln(1 + (N - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean length)). Words are runs without
     ASCII white space after lower-casing A-Z, told apart by 64-bit hashes. Documents with the query's own id or without an id are left out, as are those of score 0; ties go to the smaller id. Documents
-    without words count in the statistics. A query without words, or of null id, gives no rows; queries of one id give rows once; repeated documents each have a rank.
+    without words count in the statistics. A query without words, or of null id, gives no rows; of several queries of one id the one whose words come first by their bytes is asked; repeated documents each have a rank.
     """
     n, total = (x or 0 for x in index.select("lengths").mapInArrow(_lengths, "n long, total long").agg(F.sum("n"), F.sum("total")).first())
     mean = total / n if n else 0.0
-    asked = queries.where(F.col("doc_id").isNotNull() & (F.octet_length("words") > 0)).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("query_id"), "shard", "words", (F.octet_length("words") / 8).cast("long").alias("_n"))
+    asked = queries.where(F.col("doc_id").isNotNull() & (F.octet_length("words") > 0)).groupBy(F.col("doc_id").alias("query_id")).agg(F.min(F.struct("words", "shard")).alias("_of"))
+    asked = asked.select("query_id", "_of.shard", "_of.words", (F.octet_length("_of.words") / 8 + EACH).cast("long").alias("_n"))
     asked = running_total(staged(asked, "search-queries"), ["query_id"], "_n", "_before").withColumn("_block", F.floor(F.col("_before") / block))
     asked = staged(asked.select("query_id", "shard", "words", "_block"), "search-blocks")
     last = asked.agg(F.max("_block")).first()[0]
@@ -306,21 +315,21 @@ def _block(index: DataFrame, shards: int, asked: DataFrame, n: int, mean: float,
         def task(batches):
             ids, home, ends, at, weight = weights.value
             floors = shared.value.copy()
-            heaps: dict[int, list[float]] = {}  # the best scores so far in this task, of all its shards
+            heaps: dict[int, list[tuple[float, int]]] = {}  # the best so far in this task, of all its shards
             for b in batches:
                 for i in range(b.num_rows):
                     number = b.column("shard")[i].as_py()
                     shard = Shard({c: b.column(c)[i].as_py() for c in b.schema.names if c != "shard"}, mean, known.value)
-                    out = []
                     for q in np.flatnonzero((home == number) == at_home).tolist():
                         own = at[ends[q] : ends[q + 1]]
                         best = shard.best(int(ids[q]), own, weight[own], k, floors[q])
                         if best:
-                            out += [(int(ids[q]), doc, s) for s, doc in best]
-                            heaps[q] = sorted([*heaps.get(q, ()), *(s for s, _ in best)], reverse=True)[:k]
+                            heaps[q] = sorted([*heaps.get(q, ()), *((-s, doc) for s, doc in best)])[:k]
                             if len(heaps[q]) == k:
-                                floors[q] = max(floors[q], heaps[q][-1])
-                    yield pa.record_batch([pa.array([o[j] for o in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "doc_id", "score"])
+                                floors[q] = max(floors[q], -heaps[q][-1][0])
+            out = [(int(ids[q]), doc, -s) for q, heap in heaps.items() for s, doc in heap if -s * SLACK >= floors[q]]
+            for start in range(0, len(out), 10_000):
+                yield pa.record_batch([pa.array([o[j] for o in out[start : start + 10_000]], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "doc_id", "score"])
 
         return task
 

@@ -86,3 +86,23 @@ def test_negative_ids_are_found(spark):
     data = [(None if r[0] is None else r[0] - 150, *r[1:]) for r in rows()]
     assert any(i < 0 for found in brute(data, 5, 10).values() for i, _ in found)
     assert result(ts.topk_search(table(spark, data), 5, 10)) == brute(data, 5, 10)
+
+
+def test_queries_of_one_id_are_the_same_in_every_run(spark):
+    data = [(50, f"word{i} other{i % 3} text", None, None, None) for i in range(6)] + [(i, f"word{i} other{i % 3} text", None, None, None) for i in range(1, 7)]
+    once = result(ts.topk_search(table(spark, data), 50, 10))
+    assert list(once) == [50] and result(ts.topk_search(table(spark, data[::-1]).repartition(5), 50, 10)) == once
+
+
+def test_blocks_are_skipped(monkeypatch):
+    seen, rng = WordHashes(), np.random.default_rng(1)
+    texts = [" ".join(f"w{j}" for j in rng.integers(0, 200, 40)) for _ in range(3000)] + [" ".join(f"x{j}" for j in rng.integers(0, 8, 40)) for _ in range(200)]
+    hashes = [ts.word_hashes(t, seen) for t in texts]
+    row = ts.build_shard([np.unique(h, return_counts=True) for h in hashes], list(range(len(texts))))
+    vocabulary = np.unique(hashes[-1])
+    shard = ts.Shard(row, 40.0, vocabulary)
+    own = np.arange(len(vocabulary))
+    whole, calls = shard.dense, []
+    shard.dense = type("Seen", (), {"__getitem__": lambda self, key: calls.append(np.size(key[1])) or whole[key]})()
+    assert len(shard.best(-1, own, np.ones(len(own)), 10, 0.0)) == 10
+    assert 0 < sum(calls) < 3200 / 4
