@@ -40,7 +40,7 @@ FIRST = 4
 #: Bounds are in single precision; this makes up for their rounding.
 SLACK = 1 + 1e-4
 
-_INDEX = "shard int, words binary, starts binary, docs binary, tf binary, lengths binary, ids binary, named binary"
+_INDEX = "shard int, words binary, df binary, docs binary, tf binary, lengths binary, ids binary, named binary"
 _U64 = np.uint64
 
 
@@ -79,7 +79,7 @@ def build_shard(found: list[tuple[np.ndarray, np.ndarray]], ids: list[int | None
     place[order] = np.arange(len(order), dtype=np.int32)
     by = np.lexsort((place[doc], at))
     return {
-        "words": words.tobytes(), "starts": np.concatenate([[0], np.cumsum(df)]).astype(np.int64).tobytes(), "docs": place[doc][by].astype(np.uint16 if len(found) <= 1 << 16 else np.uint32).tobytes(), "tf": small(tf[by]),
+        "words": words.tobytes(), "df": small(df), "docs": place[doc][by].astype(np.uint16 if len(found) <= 1 << 16 else np.uint32).tobytes(), "tf": small(tf[by]),
         "lengths": lengths[order].tobytes(), "ids": np.array([0 if i is None else i for i in ids], np.int64)[order].tobytes(),
         "named": np.packbits(np.array([i is not None for i in ids], bool)[order]).tobytes(),
     }
@@ -89,7 +89,8 @@ class Shard:
     """A shard with block maxima, ready for the words of a block of queries."""
 
     def __init__(self, row: dict[str, bytes], mean: float, vocabulary: np.ndarray):
-        self.words, self.starts = np.frombuffer(row["words"], _U64), np.frombuffer(row["starts"], np.int64)
+        self.words = np.frombuffer(row["words"], _U64)
+        self.starts = np.append(0, np.cumsum(large(row["df"], len(self.words)), dtype=np.int64))
         self.ids = np.frombuffer(row["ids"], np.int64)
         self.n = len(self.ids)
         self.docs = np.frombuffer(row["docs"], np.uint16 if self.n <= 1 << 16 else np.uint32).astype(np.int32)
@@ -109,9 +110,9 @@ class Shard:
         self.row = np.full(len(vocabulary), -1, np.int64)
         self.row[common] = np.arange(len(common))
         self.dense = np.zeros((len(common), self.blocks * BLOCK), np.float32)
-        for r, v in enumerate(common):
-            part = slice(self.begin[v], self.end[v])
-            self.dense[r, self.docs[part]] = self.impact[part]
+        self.common_at, of = self.entries(common)  # all their postings, in order of (row, document)
+        self.dense[of, self.docs[self.common_at]] = self.impact[self.common_at]
+        self.common_key = of * self.n + self.docs[self.common_at]
         self.most = self.dense.reshape(len(common), self.blocks, BLOCK).max(axis=2) if self.n else np.zeros((0, 0), np.float32)
         self.by_id = np.argsort(self.ids, kind="stable")
         self.sorted_ids = self.ids[self.by_id]
@@ -178,11 +179,10 @@ class Shard:
         at, of = self.entries(words[~common])
         mine = place[self.docs[at]] >= 0
         at, of = at[mine], np.flatnonzero(~common)[of[mine]]
-        for i in np.flatnonzero(common):  # by a list's own order
-            part = slice(self.begin[words[i]], self.end[words[i]])
-            spot = np.flatnonzero(self.dense[self.row[words[i]], live])
-            near = np.searchsorted(self.docs[part], live[spot]) + part.start
-            at, of = np.append(at, near), np.append(of, np.full(len(near), i))
+        rows = self.row[words[common]]
+        which, spot = np.nonzero(self.dense[np.ix_(rows, live)])
+        near = self.common_at[np.searchsorted(self.common_key, rows[which] * self.n + live[spot])]
+        at, of = np.append(at, near), np.append(of, np.flatnonzero(common)[which])
         order = np.argsort(of, kind="stable")
         at, of = at[order], of[order]
         tf, doc = self.tf[at], self.docs[at]
@@ -195,6 +195,13 @@ def _kth(score: np.ndarray, k: int) -> float:
     return float(np.partition(score, len(score) - k)[len(score) - k]) if len(score) >= k else 0.0
 
 
+def _few(batches, n: int = 256):
+    """The same rows, a few at a time, so that a task holds few documents' words whatever the batches are."""
+    for b in batches:
+        for start in range(0, b.num_rows, n):
+            yield b.slice(start, n)
+
+
 def _kinds(found: np.ndarray, top: np.ndarray) -> int:
     """Which of the most frequent words a document has, as bits, the most frequent one first."""
     return sum(1 << (len(top) - 1 - int(i)) for i in np.flatnonzero(np.isin(top, found)))
@@ -207,7 +214,7 @@ def _sampled(docs: DataFrame, shards: int) -> tuple[np.ndarray, np.ndarray]:
 
     def words(batches):
         seen = WordHashes()
-        for b in batches:
+        for b in _few(batches):
             found = [np.unique(word_hashes(t.as_py(), seen)) for t in b.column("text")]
             yield pa.record_batch([pa.array([w.view(np.int64) for w in found], pa.list_(pa.int64()))], names=["words"])
 
@@ -229,7 +236,7 @@ def prepare(docs: DataFrame, shard: int = SHARD) -> DataFrame:
 
     def run(batches):
         seen = WordHashes()
-        for b in batches:
+        for b in _few(batches):
             found = [np.unique(word_hashes(t.as_py(), seen), return_counts=True) for t in b.column("text")]
             kind = np.array([_kinds(w, top) for w, _ in found], np.int64)
             low, high = np.searchsorted(bounds, kind, side="left"), np.searchsorted(bounds, kind, side="right")
@@ -298,12 +305,12 @@ def _block(index: DataFrame, shards: int, asked: DataFrame, n: int, mean: float,
 
     def count(batches):
         for b in batches:
-            for own, starts in zip(b.column("words"), b.column("starts"), strict=True):
-                own, starts = np.frombuffer(own.as_py(), _U64), np.frombuffer(starts.as_py(), np.int64)
+            for own, df in zip(b.column("words"), b.column("df"), strict=True):
+                own = np.frombuffer(own.as_py(), _U64)
                 _, here, there = np.intersect1d(own, known.value, assume_unique=True, return_indices=True)
-                yield pa.record_batch([pa.array(there, pa.int64()), pa.array(starts[here + 1] - starts[here], pa.int64())], names=["word", "df"])
+                yield pa.record_batch([pa.array(there, pa.int64()), pa.array(large(df.as_py(), len(own))[here], pa.int64())], names=["word", "df"])
 
-    counts = index.select("words", "starts").mapInArrow(count, "word long, df long").groupBy("word").agg(F.sum("df").alias("df")).toArrow()
+    counts = index.select("words", "df").mapInArrow(count, "word long, df long").groupBy("word").agg(F.sum("df").alias("df")).toArrow()
     df = np.zeros(len(vocabulary))
     df[counts["word"].to_numpy()] = counts["df"].to_numpy()
     weights = context.broadcast((ids, home, ends, at, np.log1p((n - df + 0.5) / (df + 0.5))))
