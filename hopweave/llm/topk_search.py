@@ -28,7 +28,9 @@ SHARD = 10 << 20
 QUERY_WORDS = 2_000_000
 BLOCK = 32
 #: A word is common in a shard if more than one document in so many has it.
-COMMON = 16
+COMMON = 8
+#: Scores that are looked at together, at most.
+CELLS = 1 << 18
 #: Pivot blocks that are scored before the score to be reached is first raised; then twice as many each time. ORDER: words that documents are ordered by.
 STEP, ORDER = 4, 24
 #: What a query counts in a block besides its words, so that a block has a bounded number of queries too.
@@ -55,7 +57,7 @@ def small(values: np.ndarray) -> bytes:
 
 
 def large(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, np.uint8 if len(data) == n else np.uint32).astype(np.int32)
+    return np.frombuffer(data, np.uint8 if len(data) == n else np.uint32)
 
 
 def build_shard(found: list[tuple[np.ndarray, np.ndarray]], ids: list[int | None]) -> dict[str, bytes]:
@@ -96,7 +98,8 @@ class Shard:
         self.docs = np.frombuffer(row["docs"], np.uint16 if self.n <= 1 << 16 else np.uint32).astype(np.int32)
         self.tf = large(row["tf"], len(self.docs))
         self.norm = K1 * (1 - B + B * np.frombuffer(row["lengths"], np.int64) / max(mean, 1e-9))
-        self.impact = (self.tf * (K1 + 1) / (self.tf + self.norm[self.docs])).astype(np.float32)
+        tf = self.tf.astype(np.float32)
+        self.impact = tf * np.float32(K1 + 1) / (tf + self.norm.astype(np.float32)[self.docs])
         at = np.searchsorted(self.words, vocabulary)
         at = np.minimum(at, max(0, len(self.words) - 1))
         known = self.words[at] == vocabulary if len(self.words) else np.zeros(len(vocabulary), bool)
@@ -113,6 +116,7 @@ class Shard:
         self.common_at, of = self.entries(common)  # all their postings, in order of (row, document)
         self.dense[of, self.docs[self.common_at]] = self.impact[self.common_at]
         self.common_key = of * self.n + self.docs[self.common_at]
+        del of
         self.most = self.dense.reshape(len(common), self.blocks, BLOCK).max(axis=2) if self.n else np.zeros((0, 0), np.float32)
         self.by_id = np.argsort(self.ids, kind="stable")
         self.sorted_ids = self.ids[self.by_id]
@@ -151,11 +155,11 @@ class Shard:
         if len(pivots) > STEP:  # the most promising first, so that much can be skipped; then in order
             top = np.argpartition(-reach[pivots], STEP)[:STEP]
             pivots = np.concatenate([pivots[top], np.delete(pivots, top)])
-        i, step = 0, STEP
+        i, step, most = 0, STEP, max(STEP, CELLS // (BLOCK * max(1, len(rows))))
         while i < len(pivots):
             now = pivots[i : i + step]
             now = now[reach[now] >= theta]
-            i, step = i + step, 2 * step
+            i, step = i + step, min(2 * step, most)
             if not len(now):
                 continue
             docs = (now[:, None] * BLOCK + np.arange(BLOCK)).ravel()
@@ -185,7 +189,7 @@ class Shard:
         at, of = np.append(at, near), np.append(of, np.flatnonzero(common)[which])
         order = np.argsort(of, kind="stable")
         at, of = at[order], of[order]
-        tf, doc = self.tf[at], self.docs[at]
+        tf, doc = self.tf[at].astype(np.float64), self.docs[at]
         np.add.at(total, place[doc], weight[of] * (tf * (K1 + 1) / (tf + self.norm[doc])))
         return total
 
@@ -250,14 +254,14 @@ def prepare(docs: DataFrame, shard: int = SHARD) -> DataFrame:
 
 
 def _build(key, table):
-    found = [(np.frombuffer(w, _U64), large(c, len(w) // 8)) for w, c in zip(table["words"].to_pylist(), table["counts"].to_pylist(), strict=True)]
+    found = [(np.frombuffer(w, _U64), large(c, len(w) // 8).astype(np.int32)) for w, c in zip(table["words"].to_pylist(), table["counts"].to_pylist(), strict=True)]
     row = build_shard(found, table["doc_id"].to_pylist())
     return pa.table([pa.array([key[0].as_py()], pa.int32()), *(pa.array([x], pa.binary()) for x in row.values())], names=["shard", *row])
 
 
 def build_index(prepared: DataFrame) -> DataFrame:
     """A row for each shard, on shared files. Row groups are of about one shard, so that a reader holds one at a time."""
-    return staged(prepared.groupBy("shard").applyInArrow(_build, _INDEX), "search-index", {"parquet.block.size": 1 << 20})
+    return staged(prepared.groupBy("shard").applyInArrow(_build, _INDEX), "search-index", {"parquet.block.size": 1 << 20, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 1})
 
 
 def _lengths(batches):
@@ -308,7 +312,7 @@ def _block(index: DataFrame, shards: int, asked: DataFrame, n: int, mean: float,
             for own, df in zip(b.column("words"), b.column("df"), strict=True):
                 own = np.frombuffer(own.as_py(), _U64)
                 _, here, there = np.intersect1d(own, known.value, assume_unique=True, return_indices=True)
-                yield pa.record_batch([pa.array(there, pa.int64()), pa.array(large(df.as_py(), len(own))[here], pa.int64())], names=["word", "df"])
+                yield pa.record_batch([pa.array(there, pa.int64()), pa.array(large(df.as_py(), len(own))[here].astype(np.int64))], names=["word", "df"])
 
     counts = index.select("words", "df").mapInArrow(count, "word long, df long").groupBy("word").agg(F.sum("df").alias("df")).toArrow()
     df = np.zeros(len(vocabulary))
