@@ -52,12 +52,15 @@ def word_hashes(text: str | None, seen: WordHashes) -> np.ndarray:
 
 
 def small(values: np.ndarray) -> bytes:
-    """Counts as bytes if they are small enough, else as integers of four; their number tells which."""
-    return values.astype(np.uint8 if len(values) and values.max() < 256 else np.uint32).tobytes()
+    """Counts as a byte each; those from 255 on come behind all others as integers of four."""
+    return np.minimum(values, 255).astype(np.uint8).tobytes() + values[values >= 255].astype(np.uint32).tobytes()
 
 
 def large(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, np.uint8 if len(data) == n else np.uint32)
+    """The n counts of small()."""
+    out = np.frombuffer(data, np.uint8, n).astype(np.int32)
+    out[out == 255] = np.frombuffer(data[n:], np.uint32)
+    return out
 
 
 def build_shard(found: list[tuple[np.ndarray, np.ndarray]], ids: list[int | None]) -> dict[str, bytes]:
@@ -254,7 +257,7 @@ def prepare(docs: DataFrame, shard: int = SHARD) -> DataFrame:
 
 
 def _build(key, table):
-    found = [(np.frombuffer(w, _U64), large(c, len(w) // 8).astype(np.int32)) for w, c in zip(table["words"].to_pylist(), table["counts"].to_pylist(), strict=True)]
+    found = [(np.frombuffer(w, _U64), large(c, len(w) // 8)) for w, c in zip(table["words"].to_pylist(), table["counts"].to_pylist(), strict=True)]
     row = build_shard(found, table["doc_id"].to_pylist())
     return pa.table([pa.array([key[0].as_py()], pa.int32()), *(pa.array([x], pa.binary()) for x in row.values())], names=["shard", *row])
 
@@ -312,7 +315,7 @@ def _block(index: DataFrame, shards: int, asked: DataFrame, n: int, mean: float,
             for own, df in zip(b.column("words"), b.column("df"), strict=True):
                 own = np.frombuffer(own.as_py(), _U64)
                 _, here, there = np.intersect1d(own, known.value, assume_unique=True, return_indices=True)
-                yield pa.record_batch([pa.array(there, pa.int64()), pa.array(large(df.as_py(), len(own))[here].astype(np.int64))], names=["word", "df"])
+                yield pa.record_batch([pa.array(there, pa.int64()), pa.array(large(df.as_py(), len(own))[here], pa.int64())], names=["word", "df"])
 
     counts = index.select("words", "df").mapInArrow(count, "word long, df long").groupBy("word").agg(F.sum("df").alias("df")).toArrow()
     df = np.zeros(len(vocabulary))

@@ -106,3 +106,8 @@ def test_blocks_are_skipped(monkeypatch):
     shard.dense = type("Seen", (), {"__getitem__": lambda self, key: calls.append(np.size(key[1])) or whole[key]})()
     assert len(shard.best(-1, own, np.ones(len(own)), 10, 0.0)) == 10
     assert 0 < sum(calls) < 3200 / 4
+
+
+def test_counts_of_any_size():
+    for counts in ([], [1, 2, 3], [254, 255, 256, 1, 70_000, 255]):
+        assert ts.large(ts.small(np.array(counts, np.int64)), len(counts)).tolist() == counts
