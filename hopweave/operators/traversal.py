@@ -102,6 +102,14 @@ class Traversal:
         table = self.graph.vertex(self.label).select(F.col("id").alias("v"), *(F.col(p).alias(alias) for alias, p in carry.items()))
         return self._with(self.df.join(table, "v"))
 
+    def edge_values(self, name: str, source: str, **carry: str) -> Traversal:
+        """Carries properties of the edge of this type from the vertex in column source to the current one. Rows without such an edge go."""
+        found = [e for e in self.graph.edges if e.label == name and self.graph.base(e.target) == self.graph.base(self.label)]
+        if len(found) != 1:
+            raise KeyError(f"{len(found)} edge types {name!r} to {self.label!r}")
+        table = found[0].table.select(F.col("src").alias(source), F.col("dst").alias("v"), *(F.col(p).alias(alias) for alias, p in carry.items()))
+        return self._with(self.df.join(table, ["v", source]))
+
     def as_(self, name: str) -> Traversal:
         return self._with(self.df.withColumn(name, F.col("v")))
 
@@ -122,6 +130,9 @@ class Traversal:
     def union(self, *bodies: Body) -> Traversal:
         """All rows of several bodies, each applied to this traversal."""
         found = [b(self) for b in bodies]
+        bases = {self.graph.base(t.label) for t in found}
+        if len(bases) > 1:
+            raise ValueError(f"the bodies of a union end in different labels: {sorted(bases)}")
         return self._with(reduce(DataFrame.unionByName, [t.df for t in found]), found[0].label)
 
     # scopes
@@ -153,12 +164,22 @@ class Traversal:
         return owner, body(inner).df.select(owner, "v")
 
     def where_exists(self, body: Body, at_least: int = 1) -> Traversal:
-        """Those for whose vertex body finds at least so many vertices."""
+        """Those for whose vertex body finds at least so many vertices.
+
+        A body that is a chain of hops and filters is followed backwards from its filters, once, to the set of all vertices for which it finds something. The set doesn't depend on
+        where the traversal is, so the rounds of a loop share it. Other bodies run forwards from this traversal's distinct vertices.
+        """
+        hit = _sources(self.graph, self.label, body) if at_least == 1 else None
+        if hit is not None:
+            return self._with(self.df.join(hit, "v", "left_semi"))
         owner, found = self._owned(body)
         hit = found.select(F.col(owner).alias("v")) if at_least == 1 else found.groupBy(F.col(owner).alias("v")).agg(F.count_distinct("v").alias("_n")).where(F.col("_n") >= at_least).select("v")
         return self._with(self.df.join(hit, "v", "left_semi"))
 
     def where_not_exists(self, body: Body) -> Traversal:
+        hit = _sources(self.graph, self.label, body)
+        if hit is not None:
+            return self._with(self.df.join(hit, "v", "left_anti"))
         owner, found = self._owned(body)
         return self._with(self.df.join(found.select(F.col(owner).alias("v")), "v", "left_anti"))
 
@@ -176,3 +197,78 @@ class Traversal:
 
 def _keys(other: DataFrame | Traversal, by: tuple[str, ...]) -> DataFrame:
     return (other.df if isinstance(other, Traversal) else other).select("v", *by).distinct()
+
+
+class _NoChainError(Exception):
+    """The body does something else than hops and filters."""
+
+
+class _Chain:
+    """Stands for a traversal while a body is read: keeps its hops and filters in order, and doesn't read any data."""
+
+    def __init__(self, graph: PropertyGraph, label: str, steps: tuple = ()):
+        self.graph, self.label, self.steps = graph, label, steps
+
+    def __getattr__(self, name: str):
+        raise _NoChainError(name)
+
+    def _hop(self, name: str, forward: bool, where: Column | None, carry: dict[str, str]) -> _Chain:
+        if carry:
+            raise _NoChainError("carried properties")
+        edge = self.graph.edge(name, self.label, forward)
+        return _Chain(self.graph, edge.target if forward else edge.source, (*self.steps, (edge, forward, where)))
+
+    def out(self, name: str, where: Column | None = None, **carry: str) -> _Chain:
+        return self._hop(name, True, where, carry)
+
+    def in_(self, name: str, where: Column | None = None, **carry: str) -> _Chain:
+        return self._hop(name, False, where, carry)
+
+    def _keep(self, ids: DataFrame, label: str | None = None) -> _Chain:
+        return _Chain(self.graph, label or self.label, (*self.steps, ids))
+
+    def has(self, prop: str, test: Predicate) -> _Chain:
+        return self.where_vertex(test(F.col(prop)))
+
+    def where_vertex(self, condition: Column) -> _Chain:
+        return self._keep(self.graph.vertex(self.label).where(condition).select(F.col("id").alias("v")))
+
+    def has_label(self, label: str) -> _Chain:
+        return self._keep(self.graph.vertex(label).select(F.col("id").alias("v")), label)
+
+    def within(self, other: DataFrame | Traversal, by: tuple[str, ...] = ()) -> _Chain:
+        if by:
+            raise _NoChainError("context columns")
+        return self._keep(_keys(other, ()))
+
+    def where_exists(self, body: Body, at_least: int = 1) -> _Chain:
+        found = _sources(self.graph, self.label, body) if at_least == 1 else None
+        if found is None:
+            raise _NoChainError("a nested body")
+        return self._keep(found)
+
+    def dedup(self) -> _Chain:
+        return self
+
+
+def _sources(graph: PropertyGraph, label: str, body: Body) -> DataFrame | None:
+    """All vertices from which body, a chain with a filter behind its first hop, finds something; None for other bodies."""
+    try:
+        chain = body(_Chain(graph, label))
+    except _NoChainError:
+        return None
+    if not isinstance(chain, _Chain) or not any(isinstance(s, DataFrame) for s in chain.steps[1:]):
+        return None
+    found = None
+    for step in reversed(chain.steps):
+        if isinstance(step, DataFrame):
+            found = step if found is None else found.join(step, "v", "left_semi")
+        else:
+            edge, forward, where = step
+            table = edge.table if not forward or edge.by_target is None else edge.by_target
+            if where is not None:
+                table = table.where(where)
+            near, far = ("src", "dst") if forward else ("dst", "src")
+            back = table.select(F.col(near).alias("_near"), F.col(far).alias("v"))
+            found = (back if found is None else back.join(found, "v", "left_semi")).select(F.col("_near").alias("v")).distinct()
+    return found

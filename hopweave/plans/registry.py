@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopweave.functions.predicates import birth_day, birth_month, both, contains, either, eq, gt, gte, inside, lt, lte, neq, outside, within, without
+from hopweave.functions.predicates import always, birth_day, birth_month, both, contains, either, eq, gt, gte, inside, lt, lte, neq, outside, within, without
 from hopweave.operators.traversal import Traversal, scan_edges, seeds, seeds_from
 from hopweave.sources.fixture import VIEWS, fixture_graph, views_sql
 from hopweave.sources.graph import PropertyGraph
@@ -62,6 +62,8 @@ OPERATORS: dict[str, tuple[Callable[[PropertyGraph, int], DataFrame], str, str]]
     "in_": (lambda g, s: _ids(seeds(g, "Person", s).in_("hasCreator")), "", "select src as id from e_has_creator where dst = {s}"),
     "out_edge_props": (lambda g, s: seeds(g, "Person", s).out("workAt", work_from="work_from").df.withColumnRenamed("v", "id"), "", "select dst as id, work_from from e_work_at where src = {s}"),
     "in_edge_props": (lambda g, s: seeds(g, "Person", s).in_("hasMember", join_date="join_date").df.withColumnRenamed("v", "id"), "", "select src as id, join_date from e_has_member where dst = {s}"),
+    "edge_by_ends": (lambda g, s: seeds(g, "Person", s).as_("person").out("workAt").edge_values("workAt", "person", since="work_from").df.select("person", F.col("v").alias("organisation"), "since"), "", "select src as person, dst as organisation, work_from as since from e_work_at where src = {s}"),
+    "always": (lambda g, s: _ids(seeds(g, "Person").has("first_name", always())), "", "select id from v_person"),
     "has_eq": (lambda g, s: _ids(seeds(g, "Person").has("first_name", eq("BUILDING"))), "", "select id from v_person where first_name = 'BUILDING'"),
     "has_neq": (lambda g, s: _ids(seeds(g, "Person").has("first_name", neq("BUILDING"))), "", "select id from v_person where first_name <> 'BUILDING'"),
     "within": (lambda g, s: _ids(seeds(g, "Person").has("first_name", within("BUILDING", "MACHINERY"))), "", "select id from v_person where first_name in ('BUILDING', 'MACHINERY')"),

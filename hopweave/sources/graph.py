@@ -53,7 +53,7 @@ class PropertyGraph:
 
     def warm(self) -> int:
         """Fills the cache; the number of rows."""
-        return sum(t.count() for t in [*self.vertices.values(), *(e.table for e in self.edges)])
+        return sum(t.count() for t in [*self.vertices.values(), *(e.table for e in self.edges), *(e.by_target for e in self.edges if e.by_target is not None)])
 
 
 def _name(e: Edges) -> str:

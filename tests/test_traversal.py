@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hopweave.functions import predicates as P
-from hopweave.operators.traversal import seeds, seeds_from
+from hopweave.operators.traversal import _sources, seeds, seeds_from
 from hopweave.plans import nested, social
 from hopweave.sources.graph import Edges, PropertyGraph, load_graph, read_graph, save_graph, write_graph
 
@@ -139,3 +139,31 @@ def test_storage(spark, graph, tmp_path):
     plan = seeds(stored, "Person").out("knows").df._jdf.queryExecution().executedPlan().toString()
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "Exchange hashpartitioning" not in plan  # both sides lie by the key already
+
+
+def test_bodies_are_followed_backwards_to_the_same_vertices(graph):
+    people, red = seeds(graph, "Person"), lambda t: t.in_("hasCreator").dedup().out("hasTag").has("name", P.eq("red"))
+    bodies = [
+        red, lambda t: t.in_("hasCreator").has_label("Comment"), lambda t: t.out("workAt", where=F.col("work_from") > 1998).within(seeds(graph, "Organisation", 1)),
+        lambda t: t.out("knows").where_exists(red), lambda t: t.out("knows").has("first_name", P.eq("first0")).out("knows"),
+    ]
+    for body in bodies:
+        assert _sources(graph, "Person", body) is not None
+        owner, found = people._owned(body)
+        wanted = sorted({r[0] for r in found.select(owner).collect()})
+        assert ids(people.where_exists(body)) == wanted and wanted
+        assert ids(people.where_not_exists(body)) == sorted(set(range(1, 12)) - set(wanted))
+    for body in (lambda t: t.out("knows"), lambda t: t.values(n="first_name"), lambda t: t.repeat(lambda u: u.out("knows"), 2).has("first_name", P.eq("first0")), lambda t: t.out("workAt", since="work_from").has("name", P.eq("acme"))):
+        assert _sources(graph, "Person", body) is None
+
+
+def test_edge_property_by_both_ends(graph):
+    jobs = seeds(graph, "Person", 1, 2, 4).as_("who").out("workAt").edge_values("workAt", "who", since="work_from").df
+    assert sorted(tuple(r) for r in jobs.select("who", "v", "since").collect()) == [(1, 1, 1999), (2, 2, 1998)]
+    with pytest.raises(KeyError):
+        seeds(graph, "Person").edge_values("workAt", "who")
+
+
+def test_union_of_different_labels_is_an_error(graph):
+    with pytest.raises(ValueError, match="different labels"):
+        seeds(graph, "Person", 1).union(lambda t: t.out("knows"), lambda t: t.out("workAt"))
