@@ -10,6 +10,7 @@ import hashlib
 import json
 import sys
 import unicodedata
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -100,7 +101,9 @@ class Encoder:
         self.by_rank = made
         self.special = model["special"]
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.pattern = regex.compile(model["pattern"].replace(r"\s", WHITE).replace(r"\p{L}", unicode_class("L", LETTERS_16)).replace(r"\p{N}", unicode_class("N", NUMBERS_16)))
+        self.source = model["pattern"].replace(r"\s", WHITE)
+        self.pattern = regex.compile(self.source)
+        self.usual = set(map(chr, range(128)))  # characters met so far that regex and unicodedata treat as the library does
         self.ids: dict[str, str] = {}
         self.text: dict[str, str] = {}
         self.n: dict[str, int] = {}
@@ -116,7 +119,18 @@ class Encoder:
         return out + self._split(text[at:])
 
     def _split(self, text: str) -> list[str]:
-        return self.pattern.findall(normal(text))
+        if not text.isascii() and not self.usual.issuperset(text):
+            new = set(text) - self.usual
+            odd = {c for c in new if unicodedata.category(c) == "Cn" or NO_MARK.match(c) or NEW_CAPITAL.match(c)}
+            self.usual |= new - odd
+            if odd:
+                return self.exact().findall(normal(text))
+        return self.pattern.findall(SPACE.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower())
+
+    @cache  # noqa: B019  one encoder a task
+    def exact(self) -> regex.Pattern:
+        """The pattern with its classes written out, which is slower."""
+        return regex.compile(self.source.replace(r"\p{L}", unicode_class("L", LETTERS_16)).replace(r"\p{N}", unicode_class("N", NUMBERS_16)))
 
     def learn(self, pieces: set[str]) -> None:
         """Encodes the pieces that are not yet in the cache."""

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import sys
+import unicodedata
 
 import public_tokenizers
 import pytest
@@ -8,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from hopweave.llm import bpe
 from hopweave.llm.bpe import Encoder, bpe_encode, byte_letters, load
 
 from .helpers import SCHEMA, rows, table, tuples
@@ -47,9 +49,12 @@ def test_any_text(library, encoder, text):
     assert encoder.decode(encoder.encode(text)) == library.decode(library.encode(text, add_special_tokens=False).ids, skip_special_tokens=False)
 
 
-def test_every_code_point(library, encoder):
+def test_code_points_of_all_kinds(library, encoder):
+    """Both ends of every run of one category and of the fixed ranges, and every 61st of all."""
     letters = byte_letters()
-    points = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    kinds = [unicodedata.category(chr(c)) for c in range(sys.maxunicode + 1)]
+    ends = {c + k for a, b, *_ in (*bpe.LETTERS_16, *bpe.NUMBERS_16, *bpe.MARKS_SINCE, *bpe.LOWER_SINCE) for c in (a, b) for k in (-1, 0, 1)}
+    points = [chr(c) for c in range(sys.maxunicode) if not 0xD800 <= c < 0xE000 and (c % 61 == 0 or c in ends or kinds[c] != kinds[c - 1] or kinds[c] != kinds[c + 1])]
     for i in range(0, len(points), 512):
         for shape in ("a{0}b1{0} e{0}\u0323\u0301", "\u00e1{0}\u0323 {0}"):
             text = " ".join(shape.format(c) for c in points[i : i + 512])
