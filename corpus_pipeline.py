@@ -3,6 +3,7 @@
 from functools import reduce
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +20,18 @@ ORACLE_SQL = None
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """The rows on shared files with _row, a key of each row's own whatever its id, and _hash, which orders rows alike in every run."""
-    return staged(docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("_hash"), F.monotonically_increasing_id().alias("_row")), "pipeline-rows")
+    """The rows with _row, a key of each row's own whatever its id, and _hash, which orders rows alike in every run.
+
+    The key of a row of a file is the file's number and the row's place in it, the same however the file is split. Rows that come from elsewhere are written first.
+    """
+    rows = docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("_hash"))
+    try:
+        placed = docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("_hash"), F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_at"))
+        paths = sorted(r[0] for r in docs.select("_metadata.file_path").distinct().collect())  # as many as files
+    except AnalysisException:
+        return staged(rows.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+    files = docs.sparkSession.createDataFrame(list(enumerate(paths)), "_file long, _path string")
+    return placed.join(files, "_path").withColumn("_row", F.shiftleft("_file", 40).bitwiseOR(F.col("_at"))).drop("_path", "_at", "_file")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
