@@ -60,10 +60,10 @@ def test_rows_of_files_are_keyed_by_their_place(spark, tmp_path):
     data = rows() + rows()
     table(spark, data, extra=False).write.parquet(str(tmp_path / "docs"))
     docs = spark.read.parquet(str(tmp_path / "docs"))
-    first = {(r["_row"], r["_hash"]) for r in corpus_pipeline._keyed(docs).collect()}
+    first = {(r["_row"], r["_hash"]) for r in cp._keyed(docs).collect()}
     spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")  # other splits
     try:
-        again = {(r["_row"], r["_hash"]) for r in corpus_pipeline._keyed(docs).collect()}
+        again = {(r["_row"], r["_hash"]) for r in cp._keyed(docs).collect()}
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert first == again and len({r for r, _ in first}) == len(data)
