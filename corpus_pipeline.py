@@ -15,6 +15,8 @@ from hopweave.llm.mixing import mix
 from hopweave.llm.near_dedup import near_dedup
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Characters of file names that may be broadcast.
+PATHS = 64 << 20
 #: SQL can express neither the classifier nor the encoding.
 ORACLE_SQL = None
 
@@ -31,6 +33,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
     except AnalysisException:
         return staged(rows.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
     files = docs.sparkSession.createDataFrame(list(enumerate(paths)), "_file long, _path string")
+    if sum(map(len, paths)) < PATHS:  # else Spark joins it as it sees fit
+        files = F.broadcast(files)
     return placed.join(files, "_path").withColumn("_row", F.shiftleft("_file", 40).bitwiseOR(F.col("_at"))).drop("_path", "_at", "_file")
 
 
