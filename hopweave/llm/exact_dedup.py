@@ -21,7 +21,7 @@ MAX_DEPTH = 16
 #: Owner tasks at most; one may own several buckets.
 OWNERS = 1 << 16
 CAPACITY = 32 << 20
-FLUSH = 24 << 20
+FLUSH = 8 << 20
 
 _ENTRY = "bucket int, key long, slot int, text_sha256 string, keep_id long, group_size long, text string"
 
@@ -64,6 +64,13 @@ def second_level(sizes: np.ndarray, slots: np.ndarray, capacity: int) -> tuple[n
     return deeper, (np.cumsum(held) - (1 << deeper))[np.maximum.accumulate(np.where(opens, np.arange(len(slots)), 0))], int(held.sum())
 
 
+def _few(batches, n: int = 256):
+    """The same rows, a few at a time, so that few texts are held as Python's whatever the batches are."""
+    for b in batches:
+        for start in range(0, b.num_rows, n):
+            yield b.slice(start, n)
+
+
 def _combine(batches):
     """One row for each distinct text of a stretch of a partition, so that a large group arrives as few rows."""
 
@@ -73,7 +80,7 @@ def _combine(batches):
         return pa.record_batch({"key": pa.array(keys, pa.int64()), "text": pa.array(texts, pa.string()), "keep_id": pa.array(ids, pa.int64()), "n": pa.array(counts, pa.int64())})
 
     held, size = {}, 0
-    for batch in batches:
+    for batch in _few(batches):
         for key, text, doc in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "doc_id")), strict=True):
             entry = held.get(text)
             if entry is None:
@@ -103,7 +110,7 @@ def _own(batches):
     def rows():
         return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    for batch in batches:
+    for batch in _few(batches):
         for bucket, key, text, doc, n in zip(*(batch.column(c).to_pylist() for c in ("bucket", "key", "text", "keep_id", "n")), strict=True):
             if (bucket, key) != at:
                 size += close()
