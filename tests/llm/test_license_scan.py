@@ -1,7 +1,7 @@
 import re
 from collections import Counter
 
-from hopweave.llm.license_scan import PHRASES, TEMPLATES, scan
+from hopweave.llm.license_scan import LICENSES, PHRASES, TEMPLATES, scan, votes
 
 from .helpers import SCHEMA, low, rows, table, tuples
 
@@ -57,6 +57,8 @@ def test_long_repeats_and_empty(spark):
 def test_no_python(spark):
     text = scan(table(spark, [(1, "a", None, None, None)], extra=False))._jdf.queryExecution().toString()
     assert "Python" not in text and "Arrow" not in text
+    text = votes(table(spark, [(1, "a", None, None, None)], extra=False))._jdf.queryExecution().toString()
+    assert "Python" not in text and "Arrow" not in text and "BroadcastHashJoin" in text
 
 
 def test_templates_beside_repeats_of_their_words(spark):
@@ -68,3 +70,23 @@ def test_templates_beside_repeats_of_their_words(spark):
     assert all(found[i] == ("mit", 1.0) for i in found if i < 3000)
     assert found[3000] == ("", 0.0)
     assert found[3001] == ("mit", 0.75)
+
+
+def test_whole_licenses(spark):
+    data, wanted = [], {}
+    for i, (label, text) in enumerate(LICENSES.items()):
+        split = SPLIT.findall(low(text))
+        kept = [w for j, w in enumerate(split) if j % 40 != 20]
+        shuffled = sorted(split)
+        data += [(10 * i + j, x, None, None, None) for j, x in enumerate((f"Copyright 2020 somebody\n{text}\nmore", "a b " + " ".join(kept), " ".join(split[: len(split) // 2]), " ".join(shuffled), (text + " ") * 30))]
+        wanted |= {10 * i: (label, 1.0), 10 * i + 4: (label, 1.0), 10 * i + 1: (label, None)}
+    found = {r[0]: r[1:] for r in tuples(scan(table(spark, data)), "doc_id", "labels", "score")}
+    for i, (label, score) in wanted.items():
+        assert label in found[i][0].split(",") and found[i][1] == (score or found[i][1]), i
+    assert all(label not in found[10 * i + 3][0] for i, label in enumerate(LICENSES))
+    assert not found[12][0] and not found[32][0]  # half a license; those of the two others hold whole passages of theirs
+
+
+def test_rows_of_one_id_and_text(spark):
+    data = [(7, "cc by", None, None, None)] * 3 + [(7, "", None, None, None), (7, None, None, None, None), (None, "cc by", None, None, None)]
+    assert Counter(tuples(scan(table(spark, data)), *BASE)) == Counter(brute(data))
