@@ -12,8 +12,9 @@ from hopweave.functions.predicates import always, birth_day, birth_month, both,
 from hopweave.operators.traversal import Traversal, scan_edges, seeds, seeds_from
 from hopweave.sources.fixture import VIEWS, fixture_graph, views_sql
 from hopweave.sources.graph import PropertyGraph
+from hopweave.sources.params import parse_params
 
-from . import batch, nested, social
+from . import batch, files, nested, social
 
 #: Parameters of the registered queries. Times are epoch milliseconds.
 START, SMALL_START = 952, 17
@@ -133,11 +134,21 @@ def _starts(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, s) for i, s in enumerate(BATCH)], "query_id long, start long")
 
 
+def parsed_lines(spark: SparkSession) -> DataFrame:
+    """The same starts from lines of a parameter file, each with a date of its own."""
+    lines = ["personId maxDate", *(f"{s} {Y1998 if i % 2 else Y2000}" for i, s in enumerate(BATCH))]
+    return parse_params(spark.createDataFrame(list(zip(lines, range(len(lines)), strict=True)), "value string, query_id long"), files.FORMATS["ic2"])
+
+
 _STARTS = "starts as (select * from (values {rows}) t(query_id, start)), b1 as (select query_id, k.dst as v from starts join e_knows k on k.src = start), b12 as (select query_id, v from b1 union select query_id, k.dst from b1 join e_knows k on k.src = b1.v)"
 #: Many parameters as one plan: the query's number is carried as a context column.
 BATCHES: dict[str, tuple[Callable[[PropertyGraph, DataFrame], DataFrame], str, str]] = {
     "batch_ic2": (lambda g, p: batch.ic2(g, p, Y2000), _STARTS, "select query_id, post_id, creation_date from (select query_id, p.id as post_id, p.creation_date, row_number() over (partition by query_id order by p.creation_date desc, p.id) as rk from b1 join e_has_creator c on c.dst = b1.v join v_post p on p.id = c.src where p.creation_date <= 946684800000) where rk <= 20"),
     "batch_ic9": (lambda g, p: batch.ic9(g, p, FEB2024), _STARTS, "select query_id, message_id, creation_date, creator from (select query_id, m.id as message_id, m.creation_date, v as creator, row_number() over (partition by query_id order by m.creation_date desc, m.id) as rk from b12 join e_has_creator c on c.dst = v join v_message m on m.id = c.src where m.creation_date < 1706745600000) where rk <= 20"),
+    "batch_ic1": (lambda g, p: batch.ic1(g, p, "HOUSEHOLD"), _STARTS + ", b3 as (select distinct query_id, k.dst as v from (select query_id, k.dst as v from b1 join e_knows k on k.src = b1.v) t join e_knows k on k.src = t.v), b2 as (select query_id, k.dst as v from b1 join e_knows k on k.src = b1.v), bd as (select query_id, v, min(d) as distance from (select query_id, v, cast(1 as bigint) as d from b1 union all select query_id, v, 2 from b2 union all select query_id, v, 3 from b3) group by query_id, v)", "select query_id, person_id, last_name, distance from (select bd.query_id, id as person_id, last_name, distance, row_number() over (partition by bd.query_id order by distance, last_name, id) as rk from bd join starts on starts.query_id = bd.query_id and start <> v join v_person on id = v where first_name = 'HOUSEHOLD') where rk <= 20"),
+    "batch_ic8": (lambda g, p: batch.ic8(g, p), _STARTS, "select query_id, commenter, comment_id, creation_date from (select query_id, d.dst as commenter, m.id as comment_id, m.creation_date, row_number() over (partition by query_id order by m.creation_date desc, m.id) as rk from starts join e_has_creator c on c.dst = start join e_reply_of r on r.dst = c.src join v_comment m on m.id = r.src join e_has_creator d on d.src = m.id) where rk <= 20"),
+    "batch_cq1": (lambda g, p: batch.cq1(g, p), _STARTS + ", " + ", ".join(f"b{t} as (select distinct query_id, k.dst as v from b{t - 1} join e_knows k on k.src = b{t - 1}.v)" for t in range(2, 6)), "select query_id, person_id from (select query_id, v as person_id, row_number() over (partition by query_id order by v) as rk from b5) where rk <= 100"),
+    "params_ic2": (lambda g, p: batch.ic2(g, parsed_lines(p.sparkSession)), _STARTS, "select query_id, post_id, creation_date from (select query_id + 1 as query_id, p.id as post_id, p.creation_date, row_number() over (partition by query_id order by p.creation_date desc, p.id) as rk from b1 join e_has_creator c on c.dst = b1.v join v_post p on p.id = c.src where p.creation_date <= case when query_id % 2 = 0 then 946684800000 else 883612800000 end) where rk <= 20"),
     "batch_cq2": (lambda g, p: batch.cq2(g, p), _STARTS + ", " + ", ".join(f"b{t} as (select distinct query_id, k.dst as v from b{t - 1} join e_knows k on k.src = b{t - 1}.v)" for t in range(2, 6)) + ", mates as (select distinct query_id, w.src as v from starts join e_work_at s on s.src = start join e_work_at w on w.dst = s.dst)", "select query_id, person_id from (select query_id, v as person_id, row_number() over (partition by query_id order by v) as rk from (select * from b1 union select * from b2 union select * from b3 union select * from b4 union select * from b5) semi join mates using (query_id, v)) where rk <= 20"),
 }
 

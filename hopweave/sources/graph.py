@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .schema import KINDS
+from .schema import EDGES, KINDS, VERTICES, column, edge_schema, vertex_schema
 
 
 @dataclass(frozen=True)
@@ -90,6 +90,24 @@ def read_graph(spark: SparkSession, path: str, labels: list[str], edges: list[tu
     return PropertyGraph({x: spark.read.parquet(f"{path}/vertices/{x}") for x in labels}, found, kinds)
 
 
+def read_catalogue(spark: SparkSession, path: str) -> PropertyGraph:
+    """The graph of the catalogue, from folders laid out as for read_graph whose columns bear the catalogue's names.
+
+    A label whose folder lacks a property, or has it in another type, is refused; columns that the catalogue doesn't know are left out. Cities and countries are rows of Place.
+    """
+
+    def table(folder: str, schema) -> DataFrame:
+        found = spark.read.parquet(f"{path}/{folder}")
+        kinds = dict(found.dtypes)
+        wrong = [f"{f.name}: {f.dataType.simpleString()}" for f in schema if kinds.get(f.name) != f.dataType.simpleString()]
+        if wrong:
+            raise ValueError(f"{folder} should have {', '.join(wrong)}")
+        return found.select(*(F.col(f.name).alias(column(f.name)) for f in schema))
+
+    edges = [Edges(e.label, e.source, e.target, table(f"edges/{e.source}_{e.label}_{e.target}", edge_schema(e.label, e.source))) for e in EDGES]
+    return PropertyGraph({x: table(f"vertices/{x}", vertex_schema(x)) for x in VERTICES}, edges)
+
+
 def write_graph(graph: PropertyGraph, path: str) -> None:
     for label, table in graph.vertices.items():
         table.write.parquet(f"{path}/vertices/{label}")

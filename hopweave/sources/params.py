@@ -9,10 +9,14 @@ def read_params(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
     Lines that are too short, or whose numbers can't be read, have nulls. Line numbers come from the one file's order, which such files of a few rows keep.
     """
+    return parse_params(spark.read.text(path).select("value", F.monotonically_increasing_id().alias("query_id")), schema)
+
+
+def parse_params(lines: DataFrame, schema: str) -> DataFrame:
+    """The same from lines (value, query_id), of which the header has number 0."""
     fields = [f.strip().split(" ") for f in schema.split(",")]
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("query_id")).where("query_id > 0")
     parts = F.split(F.trim("value"), " ", len(fields))
-    return lines.select("query_id", *(F.get(parts, F.lit(i)).try_cast(kind).alias(name) for i, (name, kind) in enumerate(fields))).where(F.col(fields[0][0]).isNotNull())
+    return lines.where("query_id > 0").select("query_id", *(F.get(parts, F.lit(i)).try_cast(kind).alias(name) for i, (name, kind) in enumerate(fields))).where(F.col(fields[0][0]).isNotNull())
 
 
 def write_results(result: DataFrame, path: str) -> None:

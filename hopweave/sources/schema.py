@@ -1,5 +1,6 @@
 """The catalogue of the property graph: vertex labels with their properties and edge labels with their ends and properties."""
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import types as T
@@ -55,6 +56,11 @@ EDGES = (
 )
 
 
+def column(prop: str) -> str:
+    """The column that queries know a property by: first_name for firstName."""
+    return re.sub(r"(?<=[a-z])(?=[A-Z])", "_", prop).lower()
+
+
 def vertex_schema(label: str) -> T.StructType:
     """Fails for an unknown label."""
     if label not in VERTICES:
