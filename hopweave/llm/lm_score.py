@@ -14,6 +14,7 @@ contexts of their own, in shards of their own. A chunk asks all parts of such a
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -158,6 +159,16 @@ def _starts_of(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
+def squeezed(values: np.ndarray) -> bytes:
+    """Small counts and codes compressed, all lowest bytes first, then all second ones, and so on."""
+    return zstandard.compress(values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes(), 1)
+
+
+def spread(data: bytes, kind: type) -> np.ndarray:
+    """The values of squeezed()."""
+    return np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
+
+
 def coded(power: np.ndarray) -> np.ndarray:
     """Codes of log10 probabilities, from 1 on, 1 / STEPS apart; 0 is left for what isn't there."""
     return (1 + np.minimum(np.rint(-power * STEPS), 65534)).astype(np.uint16)
@@ -211,8 +222,8 @@ class TrieShard:
 
 def _answers(hot: Hot):
     def run(key, table):
-        get = lambda name, kind: [np.frombuffer(x, kind) for x in table[name].to_pylist()]
-        vs, nvs, ws, cs = get("v", _U64), get("nv", np.uint32), get("w", _U64), get("c", np.uint32)
+        get = lambda name, kind, read: [read(x, kind) for x in table[name].to_pylist()]
+        vs, nvs, ws, cs = get("v", _U64, np.frombuffer), get("nv", np.uint32, spread), get("w", _U64, np.frombuffer), get("c", np.uint32, spread)
         v, nv, w = np.concatenate(vs), np.concatenate(nvs), np.concatenate(ws)
         each = np.repeat(v, nv)
         order = np.lexsort((w, each))
@@ -234,7 +245,7 @@ def _answers(hot: Hot):
                 code[~np.repeat(found, nv)] = 0
             else:
                 count, followers, code = np.zeros(len(v), np.int64), np.zeros(len(v), np.int64), np.zeros(len(w), np.uint16)
-            out.append((chunk, key[0].as_py(), count.astype(np.int64).tobytes(), followers.astype(np.uint32).tobytes(), code.tobytes(), None, None, None, None, None))
+            out.append((chunk, key[0].as_py(), squeezed(count.astype(np.int64)), squeezed(followers.astype(np.uint32)), squeezed(code), None, None, None, None, None))
         kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 4, pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
         return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split(" ")[0] for x in _TELL.split(", ")])
 
@@ -262,12 +273,12 @@ def lm_score(docs: DataFrame) -> DataFrame:
         out = []
         for s, a, b in zip(shard, starts, stops, strict=True):
             part = slice(ends[a], ends[b])
-            out.append((int(s), key[0].as_py(), found.context[a:b].tobytes(), found.nv[a:b].astype(np.uint32).tobytes(), found.w[part].tobytes(), found.count[part].astype(np.uint32).tobytes()))
+            out.append((int(s), key[0].as_py(), found.context[a:b].tobytes(), squeezed(found.nv[a:b].astype(np.uint32)), found.w[part].tobytes(), squeezed(found.count[part].astype(np.uint32))))
         kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
         return pa.table([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=[x.split(" ")[0] for x in _ASK.split(", ")])
 
     asked = rows.groupBy("chunk").applyInArrow(ask, _ASK)
-    told = staged(asked.groupBy("shard").applyInArrow(_answers(hot), _TELL), "lm-answers")
+    told = staged(asked.groupBy("shard").applyInArrow(_answers(hot), _TELL), "lm-answers", {"compression": "zstd"})
     level = told.where("chunk < 0")
     inner, words, texts = (x or 0 for x in level.agg(F.sum("tokens"), F.sum("words"), F.sum("texts")).first())
     split = level.select(F.explode("split")).distinct().count()
@@ -276,7 +287,7 @@ def lm_score(docs: DataFrame) -> DataFrame:
     def score(key, table, answer):
         found = Bigrams(table["text"].to_pylist(), table["train"].to_numpy(), WordHashes(), hot)
         answer = answer.sort_by("shard").to_pylist()
-        get = lambda name, kind: np.concatenate([np.frombuffer(a[name], kind) for a in answer])
+        get = lambda name, kind: np.concatenate([spread(a[name], kind) for a in answer])
         own = get("c", np.int64)
         direct = decoded(get("code", np.uint16))
         word, of = np.unique(found.v, return_inverse=True)

@@ -93,3 +93,10 @@ def test_a_mapped_level_is_what_was_packed():
     found = mapped(packed(arrays))
     assert all(a.dtype == b.dtype and a.tolist() == b.tolist() for a, b in zip(arrays, found, strict=True))
     assert mapped(packed([])) == []
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 65535)), st.sampled_from([np.uint16, np.uint32, np.int64]))
+def test_squeezed_values_come_back(values, kind):
+    found = lm.spread(lm.squeezed(np.array(values, kind)), kind)
+    assert found.dtype == kind and found.tolist() == values
