@@ -13,9 +13,11 @@ maxima. Final scores are computed in double precision, word by word in one fixed
 Queries come in blocks of bounded size, each broadcast to the shards in turn.
 """
 
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import running_total, staged
@@ -295,6 +297,18 @@ def search(index: DataFrame, queries: DataFrame, k: int = K, block: int = QUERY_
     return _best(out, k).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
 
 
+@contextmanager
+def _one_by_one(spark: SparkSession):
+    """While it lasts, jobs hand rows to Python one at a time, as a row of the index is megabytes: else a batch holds 64 MB of them on either side."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 1)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _best(found: DataFrame, k: int) -> DataFrame:
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
@@ -353,7 +367,8 @@ def _block(index: DataFrame, shards: int, asked: DataFrame, n: int, mean: float,
             least = _best(found, k).where(F.col("rank") == k).select("query_id", "score").toArrow()  # a row a query at most
             floors[np.searchsorted(ids, least["query_id"].to_numpy())] = least["score"].to_numpy()
         some = index if begin < 0 else index.where((F.col("shard") >= begin) & (F.col("shard") < begin + size))
-        more = staged(some.mapInArrow(run(floors.copy(), begin < 0), "query_id long, doc_id long, score double"), "search-found")
+        with _one_by_one(index.sparkSession):
+            more = staged(some.mapInArrow(run(floors.copy(), begin < 0), "query_id long, doc_id long, score double"), "search-found")
         found = more if found is None else found.union(more)
         begin, size = (0, FIRST) if begin < 0 else (begin + size, 4 * size)
     return found
