@@ -12,15 +12,20 @@ The most frequent contexts would fill a shard each. They are found first, and ea
 contexts of their own, in shards of their own. A chunk asks all parts of such a context that it has, and adds up what they hold.
 """
 
+import itertools
+from collections import defaultdict
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
 from .elias_fano import EliasFano, mapped, packed
-from .near_dedup import WordHashes, mixed
+from .near_dedup import mixed
 
 #: Bytes of text in a chunk and tokens asked of a shard, about; both bound a task's memory, and their numbers grow with the input.
 CHUNK = 8 << 20
@@ -72,16 +77,25 @@ class Hot:
         return np.where(self.keys[at] == keys, self.of[at], -1)
 
 
+def numbered(texts: Iterable[str | None]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The hashes of the distinct words, numbered as they come, and each text's words by their numbers."""
+    numbers = defaultdict(itertools.count().__next__)
+    split = ((t or "").encode("utf-8", "replace").lower().split() for t in texts)
+    parts = [np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)) for words in split]
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, numbers), _U64, len(numbers)), parts
+
+
 def hot_contexts(rows: DataFrame, shards: int) -> Hot:
     """Contexts that hold more than half a shard's share of all bigrams, about, with a part for each such half. The driver gets 16 * shards rows at most."""
     limit = 4 * shards
 
     def count(batches):
-        seen, held, total = WordHashes(), [], 0
+        held, total = [], 0
         for b in batches:
-            words = [np.fromiter(map(seen.__getitem__, (t.as_py() or "").encode("utf-8", "replace").lower().split()), _U64) for t in b.column("text")]
-            held.append(np.unique(np.concatenate([*words, np.full(len(words), BEGIN)]), return_counts=True))
-            total += sum(map(len, words)) + len(words)
+            names, words = numbered(t.as_py() for t in b.column("text"))
+            n = np.bincount(np.concatenate(words) if words else np.empty(0, np.int64), minlength=len(names))
+            held.append((np.append(names, BEGIN), np.append(n, len(words))))
+            total += int(n.sum()) + len(words)
             if len(held) == 8:
                 held = [_added(held)]
         word, n = _added(held) if held else (np.empty(0, _U64), np.empty(0, np.int64))
@@ -107,27 +121,29 @@ def _added(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
 class Bigrams:
     """The distinct bigrams (context, w) of a chunk in order, and where each token's is. v: the word behind each context, which for parts of a frequent one isn't the context's key."""
 
-    def __init__(self, texts: list[str | None], train: np.ndarray, seen: WordHashes, hot: Hot):
-        sizes, parts = [], []
-        for text in texts:
-            words = (text or "").encode("utf-8", "replace").lower().split()
-            parts.append(np.fromiter(map(seen.__getitem__, words), _U64, len(words)))
-            sizes.append(len(words) + 1)
-        self.sizes = np.array(sizes, np.int64)
+    def __init__(self, texts: list[str | None], train: np.ndarray, hot: Hot):
+        names, parts = numbered(texts)
+        end = len(names)  # the end and the beginning have the numbers behind the words', then come the parts of frequent contexts
+        names = np.append(names, [END, BEGIN])
+        self.sizes = np.array([len(p) + 1 for p in parts], np.int64)
         ends = np.cumsum(self.sizes)
-        token = np.empty(int(ends[-1]) if len(ends) else 0, _U64)
-        token[ends - 1] = END
+        token = np.full(int(ends[-1]) if len(ends) else 0, end)
         inner = np.ones(len(token), bool)
         inner[ends - 1] = False
         token[inner] = np.concatenate(parts) if parts else []
         before = np.roll(token, 1)
-        before[ends - self.sizes] = BEGIN
+        before[ends - self.sizes] = end + 1
         key = before.copy()
-        at, split = hot.find(before)
+        owner, frequent = hot.find(names)
+        split = frequent[before]
         if split.any():
-            key[split] = Hot.key(before[split], mixed(token[split]) % hot.parts[at[split]].astype(_U64))
-        order = np.lexsort((token, key))
-        u, w = key[order], token[order]
+            at = owner[before[split]]
+            key[split] = len(names) + hot.starts[at] + (mixed(names[token[split]]) % hot.parts[at].astype(_U64)).astype(np.int64)
+        keys = np.append(names, hot.keys)
+        rank = np.empty(len(keys), np.int64)
+        rank[np.argsort(keys, kind="stable")] = np.arange(len(keys))
+        order = np.argsort(rank[key] * len(keys) + rank[token])  # by the keys' hashes, then the words'
+        u, w = keys[key[order]], names[token[order]]
         new = _starts_of(u, w)
         at = np.flatnonzero(new)
         self.of_token = np.empty(len(u), np.int64)
@@ -135,7 +151,7 @@ class Bigrams:
         self.w = w[at]
         self.count = np.add.reduceat(np.repeat(train, self.sizes)[order].astype(np.int64), at) if len(at) else np.empty(0, np.int64)
         starts = np.flatnonzero(_starts_of(u[at]))
-        context, word, successors = u[at][starts], before[order][at][starts], np.diff(np.append(starts, len(at)))
+        context, word, successors = u[at][starts], names[before[order[at[starts]]]], np.diff(np.append(starts, len(at)))
         # all parts of a frequent context are asked for, also those without a successor here
         mine = np.unique(hot.find(word)[0][hot.find(word)[1]])
         if len(mine):
@@ -266,7 +282,7 @@ def lm_score(docs: DataFrame) -> DataFrame:
     hot = hot_contexts(rows, shards)
 
     def ask(key, table):
-        found = Bigrams(table["text"].to_pylist(), table["train"].to_numpy(), WordHashes(), hot)
+        found = Bigrams(table["text"].to_pylist(), table["train"].to_numpy(), hot)
         shard, starts = found.cuts(shards)
         stops = np.append(starts[1:], len(found.v))
         ends = np.concatenate([[0], np.cumsum(found.nv)])
@@ -285,7 +301,7 @@ def lm_score(docs: DataFrame) -> DataFrame:
     total, distinct = inner + texts, words + split + (texts > 0)
 
     def score(key, table, answer):
-        found = Bigrams(table["text"].to_pylist(), table["train"].to_numpy(), WordHashes(), hot)
+        found = Bigrams(table["text"].to_pylist(), table["train"].to_numpy(), hot)
         answer = answer.sort_by("shard").to_pylist()
         get = lambda name, kind: np.concatenate([spread(a[name], kind) for a in answer])
         own = get("c", np.int64)
