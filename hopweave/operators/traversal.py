@@ -137,24 +137,44 @@ class Traversal:
 
     # scopes
 
-    def repeat(self, body: Body, times: int, emit: str | Body = "last", depth: str | None = None, simple: str | None = None) -> Traversal:
+    def repeat(self, body: Body, times: int, emit: str | Body = "last", depth: str | None = None, simple: str | None = None, once: bool = False) -> Traversal:
         """Applies body again and again, each time to what it found before, equal rows once.
 
         emit: `last` gives what the last time found, `all` what any time found, a body, which only filters, those of any time that it lets through. depth:
-        a column that gets the number of the time. simple: a column that gets the path, an array; vertices that it holds already are left out.
+        a column that gets the number of the time. simple: a column that gets the path, an array; vertices that it holds already are left out. once: a row
+        comes once, not once for each time that found it.
+
+        What any time found comes from one chain of `times` bodies, as body treats each row for itself: the start joins in before each time, so the last one
+        finds what the walks of all lengths find. Without once, rows carry the number of their time.
         """
-        at = self.dedup()
+        if times < 1:
+            raise ValueError("times must be at least 1")
+        start, number = self.dedup(), "_time" + "_" * sum(c.startswith("_time") for c in self.df.columns)
+        counted = emit != "last" and (depth is not None or not (once or simple))
         if simple:
-            at = at.carry(**{simple: F.array("v")})
-        found = []
-        for t in range(1, times + 1):
+            start = start.carry(**{simple: F.array("v")})
+        if counted:
+            start = start.carry(**{number: F.lit(0)})
+
+        def step(at: Traversal) -> Traversal:
             at = body(at)
             if simple:
                 at = at.where(~F.array_contains(simple, F.col("v"))).carry(**{simple: F.concat(simple, F.array("v"))})
-            at = at.dedup()
-            if emit != "last" or t == times:
-                found.append(at.carry(**{depth: F.lit(t)}).df if depth else at.df)
-        out = self._with(reduce(DataFrame.unionByName, found), at.label)
+            return (at.carry(**{number: F.col(number) + 1}) if counted else at).dedup()
+
+        found = [step(start)]
+        # the start can only join in where the first time ends as it began
+        joins_in = emit != "last" and found[0].label == start.label and set(found[0].df.columns) == set(start.df.columns)
+        for _ in range(1, times):
+            at = found[-1]
+            found.append(step(at._with(at.df.unionByName(start.df)) if joins_in else at))
+        out = found[-1]
+        if emit != "last" and not joins_in:
+            out = out._with(reduce(DataFrame.unionByName, [t.df for t in found]))
+            out = out.dedup() if once else out
+        if depth:
+            out = out.carry(**{depth: F.col(number) if counted else F.lit(times)})
+        out = out.drop(number) if counted else out
         return emit(out) if callable(emit) else out
 
     def _owned(self, body: Body) -> tuple[str, DataFrame]:

@@ -35,7 +35,7 @@ def ic8(graph: PropertyGraph, params: DataFrame, n: int = 20) -> DataFrame:
 
 
 def ic9(graph: PropertyGraph, params: DataFrame, max_date: int, n: int = 20) -> DataFrame:
-    people = seeds_from(graph, "Person", params, "start").repeat(lambda t: t.out("knows"), 2, emit="all").dedup()
+    people = seeds_from(graph, "Person", params, "start").repeat(lambda t: t.out("knows"), 2, emit="all", once=True)
     messages = people.as_("creator").in_("hasCreator").values(creation_date="creation_date").where(lt(max_date)(F.col("creation_date")))
     return _top(messages.df.select("query_id", F.col("v").alias("message_id"), "creation_date", "creator"), n, F.desc("creation_date"), "message_id")
 
@@ -48,5 +48,5 @@ def cq1(graph: PropertyGraph, params: DataFrame, n: int = 100, times: int = 5) -
 def cq2(graph: PropertyGraph, params: DataFrame, n: int = 20, times: int = 5) -> DataFrame:
     start = seeds_from(graph, "Person", params, "start")
     mates = start.out("workAt").in_("workAt")
-    found = start.repeat(lambda t: t.out("knows"), times, emit=lambda t: t.within(mates, ("query_id",))).dedup()
+    found = start.repeat(lambda t: t.out("knows"), times, emit=lambda t: t.within(mates, ("query_id",)), once=True)
     return _top(found.df.select("query_id", F.col("v").alias("person_id")), n, "person_id")

@@ -14,7 +14,7 @@ def friends(graph: PropertyGraph, start: int) -> Traversal:
 
 def within_two(graph: PropertyGraph, start: int) -> Traversal:
     """Everyone one or two steps away, once; the start too if it can be reached."""
-    return seeds(graph, "Person", start).repeat(lambda t: t.out("knows"), 2, emit="all").dedup()
+    return seeds(graph, "Person", start).repeat(lambda t: t.out("knows"), 2, emit="all", once=True)
 
 
 def ic1(graph: PropertyGraph, start: int, first_name: str, n: int = 20) -> DataFrame:

@@ -49,7 +49,15 @@ class PropertyGraph:
         return PropertyGraph({k: f(t) for k, t in self.vertices.items()}, [Edges(e.label, e.source, e.target, f(e.table), e.by_target and f(e.by_target)) for e in self.edges], self.kinds)
 
     def cached(self) -> PropertyGraph:
-        return self.mapped(lambda t: t.persist())
+        """The same graph, kept where it has been used. Edges from a label to itself, which loops follow time after time, are laid out by src, so that each time shuffles what it found and not the edges."""
+
+        def laid(e: Edges) -> DataFrame:
+            if self.base(e.source) != self.base(e.target):
+                return e.table
+            return e.table.repartition(int(e.table.sparkSession.conf.get("spark.sql.shuffle.partitions")), "src").sortWithinPartitions("src")
+
+        edges = [Edges(e.label, e.source, e.target, laid(e), e.by_target) for e in self.edges]
+        return PropertyGraph(self.vertices, edges, self.kinds).mapped(lambda t: t.persist())
 
     def warm(self) -> int:
         """Fills the cache; the number of rows."""

@@ -1,5 +1,7 @@
 """A graph of ten persons made by hand: a path, a triangle and one alone; answers worked out on paper."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,3 +169,56 @@ def test_edge_property_by_both_ends(graph):
 def test_union_of_different_labels_is_an_error(graph):
     with pytest.raises(ValueError, match="different labels"):
         seeds(graph, "Person", 1).union(lambda t: t.out("knows"), lambda t: t.out("workAt"))
+
+
+def test_rounds_of_a_loop_are_one_chain(spark, graph):
+    knows = lambda t: t.out("knows")
+    params = spark.createDataFrame([(0, 1), (1, 8)], "query_id long, start long")
+    start = seeds_from(graph, "Person", params, "start")
+    whole = start.repeat(knows, 5, emit="all", once=True).df
+    # at most two joins a round, the hop and the lookup of the start; separate rounds would hop 1 + 2 + 3 + 4 + 5 times
+    assert len(re.findall(r"\bJoin ", whole._jdf.queryExecution().optimizedPlan().toString())) <= 10
+    rounds = [sorted(tuple(r) for r in start.repeat(knows, t).df.select("query_id", "v").collect()) for t in range(1, 6)]
+    assert sorted(tuple(r) for r in whole.select("query_id", "v").collect()) == sorted({r for found in rounds for r in found})
+    each = start.repeat(knows, 5, emit="all")
+    assert sorted(each.df.columns) == ["query_id", "v"] and sorted(tuple(r) for r in each.df.select("query_id", "v").collect()) == sorted(r for found in rounds for r in found)
+    timed = start.repeat(knows, 5, emit="all", depth="d").df.select("d", "query_id", "v").collect()
+    assert sorted(tuple(r) for r in timed) == sorted((t, *r) for t, found in enumerate(rounds, 1) for r in found)
+    paths = seeds(graph, "Person", 5).repeat(knows, 3, emit="all", simple="p").df.collect()
+    assert sorted(tuple(r["p"]) for r in paths) == [(5, 4), (5, 4, 3), (5, 4, 3, 2), (5, 6), (5, 6, 7), (5, 6, 7, 8), (5, 6, 8), (5, 6, 8, 7)]
+    assert not any(r[0] for r in seeds(graph, "Person", 11).repeat(knows, 2, emit="all").df.collect())
+    with pytest.raises(ValueError, match="times"):
+        start.repeat(knows, 0, emit="all")
+
+
+def test_loop_that_ends_in_another_label_or_with_other_columns(graph):
+    """The start can't join in there; the rounds are put together one by one."""
+    body = lambda t: t.as_("at").out("knows")
+    found = seeds(graph, "Person", 1).repeat(body, 2, emit="all", depth="d").df.select("d", "at", "v").collect()
+    assert sorted(tuple(r) for r in found) == [(1, 1, 2), (2, 2, 1), (2, 2, 3)]
+    replies = seeds(graph, "Post", 101, 105).repeat(lambda t: t.in_("replyOf"), 1, emit="all", once=True)
+    assert replies.label == "Comment" and ids(replies) == [200, 201]
+
+
+def _exchanges(df):
+    """The shuffles of a plan as it ran, without those that filled the cache."""
+    df.collect()
+    found, below = 0, None
+    for line in df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines():
+        depth = len(line) - len(line.lstrip(" :+-*("))
+        if below is None or depth <= below:
+            below = depth if "InMemoryTableScan" in line else None
+            found += "Exchange hashpartitioning" in line
+    return found
+
+
+def test_loops_over_a_cached_graph_shuffle_what_they_found_only(spark, graph):
+    cached = graph.cached()
+    cached.warm()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert _exchanges(seeds(cached, "Person").out("knows").df) == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        cached.mapped(lambda t: t.unpersist())
