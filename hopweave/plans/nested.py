@@ -43,7 +43,7 @@ def cq1(graph: PropertyGraph, start: int, n: int | None = 100, times: int = 5) -
 
 def cq2(graph: PropertyGraph, start: int, n: int | None = 20, times: int = 5) -> DataFrame:
     """Persons up to five steps away who share a company with the start."""
-    return _first(seeds(graph, "Person", start).repeat(knows, times, emit=_colleague(graph, start)).dedup(), n)
+    return _first(seeds(graph, "Person", start).repeat(knows, times, emit=_colleague(graph, start), once=True), n)
 
 
 def cq3(graph: PropertyGraph, start: int, tag_class: str, n: int | None = 10) -> DataFrame:
@@ -54,12 +54,12 @@ def cq3(graph: PropertyGraph, start: int, tag_class: str, n: int | None = 10) ->
 
 def cq4(graph: PropertyGraph, start: int, n: int | None = 10, at_least: int = 1, times: int = 4) -> DataFrame:
     """Friends from whom at least so many persons who share a company with the start are up to four steps away."""
-    return _first(seeds(graph, "Person", start).out("knows").dedup().where_exists(lambda t: t.repeat(knows, times, emit=_colleague(graph, start)), at_least), n)
+    return _first(seeds(graph, "Person", start).out("knows").dedup().where_exists(lambda t: t.repeat(knows, times, emit=_colleague(graph, start), once=True), at_least), n)
 
 
 def cq5(graph: PropertyGraph, start: int, tag_class: str, n: int | None = 5, times: int = 5) -> DataFrame:
     """Persons of cq2 who wrote on a tag of a class."""
-    found = seeds(graph, "Person", start).repeat(knows, times, emit=_colleague(graph, start)).dedup()
+    found = seeds(graph, "Person", start).repeat(knows, times, emit=_colleague(graph, start), once=True)
     return _first(found.where_exists(_about(tag_class)), n)
 
 

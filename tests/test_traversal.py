@@ -222,3 +222,11 @@ def test_loops_over_a_cached_graph_shuffle_what_they_found_only(spark, graph):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         cached.mapped(lambda t: t.unpersist())
+
+
+def test_a_loop_in_a_condition_is_one_chain(graph):
+    for n in (1, 2, 3):
+        df = nested.cq4(graph, 1, at_least=n)
+        # four hops, the friends in front and the colleagues at the end; separate rounds would take ten hops and four times the start's
+        assert len(re.findall(r"\bJoin ", df._jdf.queryExecution().optimizedPlan().toString())) <= 4 * 3 + 6
+        assert df.collect() == nested.cq4x(graph, 1, at_least=n).collect()
