@@ -7,10 +7,11 @@ length are added up over all shards, so a shard scores as one index over everyth
 A query first meets the shard of its own kind, then a few others, then four times as many, and so on. The k-th best score so far is the floor for the shards to come: one whose
 words' upper bounds together can't reach it is passed by, and others return only what reaches it. Within a shard the blocks of all lists end at the same documents, so the cursors of a query's lists
 move from block to block together: the sum of the lists' block maxima says whether a block can hold a document that reaches the k-th best score (a pivot); all blocks up to the next
-pivot are skipped, and its documents are scored, which raises the score to be reached by the blocks behind it. The sums of the maxima of all blocks are one product of the query's weights and the
-maxima. Final scores are computed in double precision, word by word in one fixed order, so equal texts tie exactly.
+pivot are skipped, and its documents are scored. Where nothing is known of that score yet, the most promising blocks are scored first, which raises it for the others. Rare words' lists are added up by document, and the
+maxima of these sums are block maxima too; the sums of the common words' maxima of all blocks are one product of the queries' weights and the maxima. Final scores are computed in double precision, word by word in one fixed order, so equal texts tie exactly.
 
-Queries come in blocks of bounded size, each broadcast to the shards in turn.
+Queries come in blocks of bounded size, like ones together, each broadcast to the shards in turn. A shard answers many queries at once: the impacts of its common words in some blocks times
+the weights of those of the queries that have a pivot among them are one product of matrices.
 """
 
 from contextlib import contextmanager
@@ -27,13 +28,13 @@ K = 10
 K1, B = 1.2, 0.75
 #: Bytes of text in a shard, words of all queries in a block, documents in a block of a shard: they bound a task's memory and what is broadcast.
 SHARD = 10 << 20
-QUERY_WORDS = 2_000_000
+QUERY_WORDS = 4_000_000
 BLOCK = 32
 #: A word is common in a shard if more than one document in so many has it.
-COMMON = 8
-#: Scores that are looked at together, at most.
-CELLS = 1 << 18
-#: Pivot blocks that are scored before the score to be reached is first raised; then twice as many each time. ORDER: words that documents are ordered by.
+COMMON = 16
+#: Queries that a shard answers together, at most; pairs of one of them and a document, if there are more queries than one; blocks that are scored by one product; postings of rare words that are added up at once, but those of one query at least.
+TOGETHER, CELLS, GROUP, POSTINGS = 256, 1 << 21, 8, 1 << 16
+#: Pivot blocks that are scored before the score to be reached is first raised. ORDER: words that documents are ordered by.
 STEP, ORDER = 4, 24
 #: What a query counts in a block besides its words, so that a block has a bounded number of queries too.
 EACH = 100
@@ -121,6 +122,7 @@ class Shard:
         self.common_at, of = self.entries(common)  # all their postings, in order of (row, document)
         self.dense[of, self.docs[self.common_at]] = self.impact[self.common_at]
         self.common_key = of * self.n + self.docs[self.common_at]
+        self.common_at = self.common_at.astype(np.int32 if len(self.docs) < 1 << 31 else np.int64)
         del of
         self.most = self.dense.reshape(len(common), self.blocks, BLOCK).max(axis=2) if self.n else np.zeros((0, 0), np.float32)
         self.by_id = np.argsort(self.ids, kind="stable")
@@ -136,48 +138,70 @@ class Shard:
 
     def best(self, query: int, words: np.ndarray, weight: np.ndarray, k: int, floor: float) -> list[tuple[float, int]]:
         """(score, id) of the best k documents, of those that reach floor. words: places in the vocabulary, in rising order."""
-        here = self.end[words] > self.begin[words]
-        words, weight = words[here], weight[here]
-        if not len(words) or weight @ self.limit[words] * SLACK < floor:
-            return []
-        # sums of block maxima: common lists have a row of them, rare ones have them where their postings are
+        return self.best_of(np.array([query], np.int64), np.array([0, len(words)]), words, weight, k, np.array([floor], np.float64))[0]
+
+    def best_of(self, ids: np.ndarray, ends: np.ndarray, words: np.ndarray, weight: np.ndarray, k: int, floors: np.ndarray) -> list[list[tuple[float, int]]]:
+        """What best() gives for each of some queries. The words of query i and their weights are from ends[i] up to ends[i + 1]."""
+        out: list[list[tuple[float, int]]] = [[] for _ in ids]
+        of = np.repeat(np.arange(len(ids)), np.diff(ends))
+        limit = np.bincount(of, weight * self.limit[words], minlength=len(ids))
+        able = (limit > 0) & (limit * SLACK >= floors)
+        asked = np.flatnonzero(able)
+        if not len(asked):
+            return out
+        mine = able[of] & (self.end[words] > self.begin[words])
+        of, words, weight, theta = (np.cumsum(able) - 1)[of[mine]], words[mine], weight[mine], floors[asked].copy()
+        # rare lists are added up by document; common ones have a row of impacts and one of block maxima
         common = self.row[words] >= 0
-        rows, factor = self.row[words[common]], weight[common].astype(np.float32)
-        at, of = self.entries(words[~common])
-        gain, doc = weight[~common][of] * self.impact[at], self.docs[at]
-        reach = (factor @ self.most[rows]).astype(np.float64)
-        if len(at):
-            cell = of * self.blocks + doc // BLOCK
-            first = np.flatnonzero(np.diff(cell, prepend=-1))
-            reach += np.bincount(cell[first] % self.blocks, np.maximum.reduceat(gain, first), minlength=self.blocks)
-        reach *= SLACK
-        base = np.bincount(doc, gain, minlength=self.blocks * BLOCK).astype(np.float32)
-        a, b = np.searchsorted(self.sorted_ids, [query, query + 1])
-        base[self.by_id[a:b]] = -np.inf
-        base[self.nameless] = -np.inf
-        theta, live, score = floor, np.empty(0, np.int64), np.empty(0, np.float32)
-        pivots = np.flatnonzero(reach >= theta)
-        if len(pivots) > STEP:  # the most promising first, so that much can be skipped; then in order
-            top = np.argpartition(-reach[pivots], STEP)[:STEP]
-            pivots = np.concatenate([pivots[top], np.delete(pivots, top)])
-        i, step, most = 0, STEP, max(STEP, CELLS // (BLOCK * max(1, len(rows))))
-        while i < len(pivots):
-            now = pivots[i : i + step]
-            now = now[reach[now] >= theta]
-            i, step = i + step, min(2 * step, most)
-            if not len(now):
-                continue
-            docs = (now[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            found = base[docs] + factor @ self.dense[np.ix_(rows, docs)]
-            keep = (found * SLACK >= theta) & (found > 0)
-            live, score = np.append(live, docs[keep]), np.append(score, found[keep])
-            theta = max(theta, _kth(score, k))
-        live = live[score * SLACK >= theta]
-        if not len(live):
-            return []
-        exact = self._exact(words, weight, live)
-        order = np.lexsort((self.ids[live], -exact))
-        return [(float(exact[j]), int(self.ids[live[j]])) for j in order[:k] if exact[j] > 0 and exact[j] * SLACK >= floor]
+        base = self._rare(of[~common], words[~common], weight[~common], len(asked))
+        rows, column = np.unique(self.row[words[common]], return_inverse=True)
+        factor = np.zeros((len(asked), len(rows)), np.float32)
+        factor[of[common], column] = weight[common]
+        a, b = np.searchsorted(self.sorted_ids, ids[asked]), np.searchsorted(self.sorted_ids, ids[asked], side="right")
+        for q in np.flatnonzero(b > a):
+            base[q, self.by_id[a[q] : b[q]]] = -np.inf
+        base[:, self.nameless] = -np.inf
+        reach = (base.reshape(len(asked), self.blocks, BLOCK).max(axis=2) + factor @ self.most[rows]) * np.float32(SLACK)
+        for q in np.flatnonzero(theta <= 0):  # the most promising blocks first, so that much can be skipped
+            top = np.argpartition(-reach[q], STEP)[:STEP] if self.blocks > STEP else np.arange(self.blocks)
+            docs, used = (top[:, None] * BLOCK + np.arange(BLOCK)).ravel(), np.flatnonzero(factor[q])
+            found = base[q, docs] + factor[q, used] @ self.dense[np.ix_(rows[used], docs)]
+            theta[q] = max(theta[q], _kth(found[found > 0], k))
+        pivot = (reach >= theta[:, None]) & (reach > 0)
+        left, parts = np.flatnonzero(pivot.any(axis=0)), []
+        for start in range(0, len(left), GROUP):  # a product for some blocks and all queries that have a pivot among them
+            now = left[start : start + GROUP]
+            who, docs = np.flatnonzero(pivot[:, now].any(axis=1)), (now[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            found = factor[who] @ self.dense[np.ix_(rows, docs)]
+            found += base[np.ix_(who, docs)]
+            q, d = np.nonzero((found >= (theta[who] / SLACK)[:, None].astype(np.float32)) & (found > 0))
+            parts.append((who[q], docs[d], found[q, d]))
+        who, docs, score = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.int64),) * 3
+        order = np.argsort(who, kind="stable")
+        who, docs, score = who[order], docs[order], score[order]
+        for q in np.unique(who):
+            a, b = np.searchsorted(who, [q, q + 1])
+            live = docs[a:b][score[a:b] * SLACK >= max(theta[q], _kth(score[a:b], k))]
+            c, d = np.searchsorted(of, [q, q + 1])
+            exact = self._exact(words[c:d], weight[c:d], live)
+            order = np.lexsort((self.ids[live], -exact))
+            out[asked[q]] = [(float(exact[j]), int(self.ids[live[j]])) for j in order[:k] if exact[j] > 0 and exact[j] * SLACK >= floors[asked[q]]]
+        return out
+
+    def _rare(self, of: np.ndarray, words: np.ndarray, weight: np.ndarray, queries: int) -> np.ndarray:
+        """A row for each query: what some words, those of query of[i], add to each document's score. of is in rising order."""
+        width, factor = self.blocks * BLOCK, weight.astype(np.float32)
+        base = np.zeros((queries, width), np.float32)
+        before = np.cumsum(size := self.end[words] - self.begin[words]) - size
+        first = np.searchsorted(of, np.arange(queries + 1))
+        group = np.append(before, 0)[np.minimum(first[:-1], len(before))] // POSTINGS if len(of) else np.zeros(queries, np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), queries]
+        for q, r in zip(cuts, cuts[1:]):
+            a, b = first[q], first[r]
+            at, which = self.entries(words[a:b])
+            place = self.docs[at] + ((of[a:b] - q) * width)[which]
+            base[q:r] = np.bincount(place, factor[a:b][which] * self.impact[at], minlength=(r - q) * width).reshape(r - q, width)
+        return base
 
     def _exact(self, words: np.ndarray, weight: np.ndarray, live: np.ndarray) -> np.ndarray:
         """Scores of a few documents in double precision, added word by word."""
@@ -286,7 +310,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = K, block: int = QUERY_
     mean = total / n if n else 0.0
     asked = queries.where(F.col("doc_id").isNotNull() & (F.octet_length("words") > 0)).groupBy(F.col("doc_id").alias("query_id")).agg(F.min(F.struct("words", "shard")).alias("_of"))
     asked = asked.select("query_id", "_of.shard", "_of.words", (F.octet_length("_of.words") / 8 + EACH).cast("long").alias("_n"))
-    asked = running_total(staged(asked, "search-queries"), ["query_id"], "_n", "_before").withColumn("_block", F.floor(F.col("_before") / block))
+    asked = running_total(staged(asked, "search-queries"), ["shard", "query_id"], "_n", "_before").withColumn("_block", F.floor(F.col("_before") / block))
     asked = staged(asked.select("query_id", "shard", "words", "_block"), "search-blocks")
     last = asked.agg(F.max("_block")).first()[0]
     shards = index.agg(F.max("shard")).first()[0]
@@ -317,11 +341,12 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 def _block(index: DataFrame, shards: int, asked: DataFrame, n: int, mean: float, k: int) -> DataFrame:
     """What the shards return for a block of queries, which has about QUERY_WORDS words at most and those of one query besides."""
     context = index.sparkSession.sparkContext
-    table = asked.select("query_id", "shard", "words").toArrow().combine_chunks().sort_by("query_id")
+    table = asked.select("query_id", "shard", "words").toArrow().combine_chunks().sort_by([("shard", "ascending"), ("query_id", "ascending")])
     ids, home = table["query_id"].to_numpy(), table["shard"].to_numpy()
     lists = [np.frombuffer(w.as_py(), _U64) for w in table["words"]]
     ends = np.concatenate([[0], np.cumsum([len(w) for w in lists])])
     vocabulary, at = np.unique(np.concatenate(lists), return_inverse=True)
+    at, by_id = at.astype(np.int32), np.argsort(ids)
     known = context.broadcast(vocabulary)
 
     def count(batches):
@@ -348,13 +373,15 @@ def _block(index: DataFrame, shards: int, asked: DataFrame, n: int, mean: float,
                 for i in range(b.num_rows):
                     number = b.column("shard")[i].as_py()
                     shard = Shard({c: b.column(c)[i].as_py() for c in b.schema.names if c != "shard"}, mean, known.value)
-                    for q in np.flatnonzero((home == number) == at_home).tolist():
-                        own = at[ends[q] : ends[q + 1]]
-                        best = shard.best(int(ids[q]), own, weight[own], k, floors[q])
-                        if best:
-                            heaps[q] = sorted([*heaps.get(q, ()), *((-s, doc) for s, doc in best)])[:k]
-                            if len(heaps[q]) == k:
-                                floors[q] = max(floors[q], -heaps[q][-1][0])
+                    due, few = np.flatnonzero((home == number) == at_home), max(1, min(TOGETHER, CELLS // max(1, shard.n)))
+                    for some in (due[start : start + few] for start in range(0, len(due), few)):
+                        own = np.concatenate([at[ends[q] : ends[q + 1]] for q in some])
+                        best = shard.best_of(ids[some], np.append(0, np.cumsum(ends[some + 1] - ends[some])), own, weight[own], k, floors[some])
+                        for q, more in zip(some.tolist(), best, strict=True):
+                            if more:
+                                heaps[q] = sorted([*heaps.get(q, ()), *((-s, doc) for s, doc in more)])[:k]
+                                if len(heaps[q]) == k:
+                                    floors[q] = max(floors[q], -heaps[q][-1][0])
             out = [(int(ids[q]), doc, -s) for q, heap in heaps.items() for s, doc in heap if -s * SLACK >= floors[q]]
             for start in range(0, len(out), 10_000):
                 yield pa.record_batch([pa.array([o[j] for o in out[start : start + 10_000]], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "doc_id", "score"])
@@ -365,8 +392,9 @@ def _block(index: DataFrame, shards: int, asked: DataFrame, n: int, mean: float,
     while begin < shards:  # first each query's own shard, then the others, in growing rounds
         if found is not None and begin > -1:
             least = _best(found, k).where(F.col("rank") == k).select("query_id", "score").toArrow()  # a row a query at most
-            floors[np.searchsorted(ids, least["query_id"].to_numpy())] = least["score"].to_numpy()
-        some = index if begin < 0 else index.where((F.col("shard") >= begin) & (F.col("shard") < begin + size))
+            floors[by_id[np.searchsorted(ids, least["query_id"].to_numpy(), sorter=by_id)]] = least["score"].to_numpy()
+        first, end = (int(home[0]), int(home[-1]) + 1) if begin < 0 else (begin, begin + size)  # queries are in order of their shards
+        some = index.where((F.col("shard") >= first) & (F.col("shard") < end))
         with _one_by_one(index.sparkSession):
             more = staged(some.mapInArrow(run(floors.copy(), begin < 0), "query_id long, doc_id long, score double"), "search-found")
         found = more if found is None else found.union(more)

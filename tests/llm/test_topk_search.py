@@ -111,3 +111,23 @@ def test_blocks_are_skipped(monkeypatch):
 def test_counts_of_any_size():
     for counts in ([], [1, 2, 3], [254, 255, 256, 1, 70_000, 255]):
         assert ts.large(ts.small(np.array(counts, np.int64)), len(counts)).tolist() == counts
+
+
+def test_queries_of_a_shard_share_its_products():
+    seen, rng = WordHashes(), np.random.default_rng(2)
+    texts = [" ".join(f"w{j}" for j in rng.zipf(1.3, 60) if j < 500) for _ in range(1000)]
+    hashes = [ts.word_hashes(t, seen) for t in texts]
+    row = ts.build_shard([np.unique(h, return_counts=True) for h in hashes], [None if i % 90 == 1 else i for i in range(len(texts))])
+    vocabulary = np.unique(np.concatenate([*hashes, ts.word_hashes("unknown words", seen)]))
+    shard, weight = ts.Shard(row, 50.0, vocabulary), rng.random(len(vocabulary)) * 5
+    lists = [np.searchsorted(vocabulary, np.unique(h)) for h in [*hashes[:200], ts.word_hashes("unknown words", seen), hashes[0][:0]]]
+    own, ends, ids = np.concatenate(lists), np.append(0, np.cumsum([len(x) for x in lists])), np.arange(len(lists))
+    one_by_one = [shard.best(int(i), x, weight[x], 5, 0.0) for i, x in zip(ids, lists, strict=True)]
+    assert shard.best_of(ids, ends, own, weight[own], 5, np.zeros(len(ids))) == one_by_one
+    assert one_by_one[-2:] == [[], []] and all(len(x) == 5 for x in one_by_one[2:90])
+    floors = np.array([x[2][0] if len(x) == 5 else 0.1 for x in one_by_one])
+    whole, calls = shard.dense, []
+    shard.dense = type("Seen", (), {"__getitem__": lambda self, key: calls.append(np.size(key[1])) or whole[key]})()
+    found = shard.best_of(ids, ends, own, weight[own], 5, floors)
+    assert all([x for x in a if x[0] >= f] == [x for x in b if x[0] >= f] for a, b, f in zip(found, one_by_one, floors, strict=True))
+    assert 0 < sum(c for c in calls if c >= ts.BLOCK) <= shard.blocks * ts.BLOCK  # each block once for all queries; exact scores are of fewer documents
