@@ -34,6 +34,8 @@ BLOCK = 32
 COMMON = 16
 #: Queries that a shard answers together, at most; pairs of one of them and a document, if there are more queries than one; blocks that are scored by one product; postings of rare words that are added up at once, but those of one query at least.
 TOGETHER, CELLS, GROUP, POSTINGS = 256, 1 << 21, 8, 1 << 16
+#: Common words whose postings are laid out at once.
+ROWS = 64
 #: Pivot blocks that are scored before the score to be reached is first raised. ORDER: words that documents are ordered by.
 STEP, ORDER = 4, 24
 #: What a query counts in a block besides its words, so that a block has a bounded number of queries too.
@@ -70,10 +72,15 @@ def build_shard(found: list[tuple[np.ndarray, np.ndarray]], ids: list[int | None
     """The arrays of one shard from each document's distinct words and their counts. ids: null ids become 0, and a bit for each document says whether it has one."""
     sizes = np.array([len(w) for w, _ in found], np.int64)
     word = np.concatenate([w for w, _ in found]) if found else np.empty(0, _U64)
-    tf = np.concatenate([c for _, c in found]).astype(np.int32) if found else np.empty(0, np.int32)
+    tf = np.concatenate([c for _, c in found]).astype(np.int32, copy=False) if found else np.empty(0, np.int32)
     doc = np.repeat(np.arange(len(found), dtype=np.int32), sizes)
-    words, at, df = np.unique(word, return_inverse=True, return_counts=True)
+    by = np.argsort(word)
+    word = word[by]
+    first = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(word) else np.empty(0, np.int64)
+    words, df = word[first], np.diff(first, append=len(word))
     del word
+    doc, tf, at = doc[by], tf[by], np.repeat(np.arange(len(words), dtype=np.int32), df)
+    del by
     # documents in order of which of the most frequent words they have: like ones come together, which keeps block maxima low
     rank = np.full(len(words), ORDER, np.int64)
     top = np.argsort(-df, kind="stable")[:ORDER]
@@ -85,9 +92,10 @@ def build_shard(found: list[tuple[np.ndarray, np.ndarray]], ids: list[int | None
     order = np.lexsort((lengths, has))
     place = np.empty(len(order), np.int32)
     place[order] = np.arange(len(order), dtype=np.int32)
-    by = np.lexsort((place[doc], at))
+    doc = place[doc]
+    by = np.lexsort((doc, at))
     return {
-        "words": words.tobytes(), "df": small(df), "docs": place[doc][by].astype(np.uint16 if len(found) <= 1 << 16 else np.uint32).tobytes(), "tf": small(tf[by]),
+        "words": words.tobytes(), "df": small(df), "docs": doc[by].astype(np.uint16 if len(found) <= 1 << 16 else np.uint32).tobytes(), "tf": small(tf[by]),
         "lengths": lengths[order].tobytes(), "ids": np.array([0 if i is None else i for i in ids], np.int64)[order].tobytes(),
         "named": np.packbits(np.array([i is not None for i in ids], bool)[order]).tobytes(),
     }
@@ -101,11 +109,17 @@ class Shard:
         self.starts = np.append(0, np.cumsum(large(row["df"], len(self.words)), dtype=np.int64))
         self.ids = np.frombuffer(row["ids"], np.int64)
         self.n = len(self.ids)
-        self.docs = np.frombuffer(row["docs"], np.uint16 if self.n <= 1 << 16 else np.uint32).astype(np.int32)
-        self.tf = large(row["tf"], len(self.docs))
+        self.docs = np.frombuffer(row["docs"], np.uint16 if self.n <= 1 << 16 else np.uint32)
+        tf = large(row["tf"], len(self.docs))
+        self.tf = tf.astype(np.min_scalar_type(int(tf.max(initial=0))))
         self.norm = K1 * (1 - B + B * np.frombuffer(row["lengths"], np.int64) / max(mean, 1e-9))
         tf = self.tf.astype(np.float32)
-        self.impact = tf * np.float32(K1 + 1) / (tf + self.norm.astype(np.float32)[self.docs])
+        below = self.norm.astype(np.float32)[self.docs]
+        below += tf
+        tf *= np.float32(K1 + 1)
+        tf /= below
+        self.impact = tf
+        del below
         at = np.searchsorted(self.words, vocabulary)
         at = np.minimum(at, max(0, len(self.words) - 1))
         known = self.words[at] == vocabulary if len(self.words) else np.zeros(len(vocabulary), bool)
@@ -119,11 +133,17 @@ class Shard:
         self.row = np.full(len(vocabulary), -1, np.int64)
         self.row[common] = np.arange(len(common))
         self.dense = np.zeros((len(common), self.blocks * BLOCK), np.float32)
-        self.common_at, of = self.entries(common)  # all their postings, in order of (row, document)
-        self.dense[of, self.docs[self.common_at]] = self.impact[self.common_at]
-        self.common_key = of * self.n + self.docs[self.common_at]
-        self.common_at = self.common_at.astype(np.int32 if len(self.docs) < 1 << 31 else np.int64)
-        del of
+        # all their postings, in order of (row, document)
+        size = int((self.end[common] - self.begin[common]).sum())
+        self.common_at = np.empty(size, np.min_scalar_type(len(self.docs)))
+        self.common_key = np.empty(size, np.int32 if len(common) * self.n < 1 << 31 else np.int64)
+        done = 0
+        for start in range(0, len(common), ROWS):
+            at, of = self.entries(common[start : start + ROWS])
+            doc, of = self.docs[at], of + start
+            self.dense[of, doc] = self.impact[at]
+            self.common_at[done : done + len(at)], self.common_key[done : done + len(at)] = at, of * self.n + doc
+            done += len(at)
         self.most = self.dense.reshape(len(common), self.blocks, BLOCK).max(axis=2) if self.n else np.zeros((0, 0), np.float32)
         self.by_id = np.argsort(self.ids, kind="stable")
         self.sorted_ids = self.ids[self.by_id]
@@ -214,7 +234,7 @@ class Shard:
         at, of = at[mine], np.flatnonzero(~common)[of[mine]]
         rows = self.row[words[common]]
         which, spot = np.nonzero(self.dense[np.ix_(rows, live)])
-        near = self.common_at[np.searchsorted(self.common_key, rows[which] * self.n + live[spot])]
+        near = self.common_at[np.searchsorted(self.common_key, (rows[which] * self.n + live[spot]).astype(self.common_key.dtype))]
         at, of = np.append(at, near), np.append(of, np.flatnonzero(common)[which])
         order = np.argsort(of, kind="stable")
         at, of = at[order], of[order]
@@ -283,7 +303,7 @@ def prepare(docs: DataFrame, shard: int = SHARD) -> DataFrame:
 
 
 def _build(key, table):
-    found = [(np.frombuffer(w, _U64), large(c, len(w) // 8)) for w, c in zip(table["words"].to_pylist(), table["counts"].to_pylist(), strict=True)]
+    found = [(np.frombuffer(w.as_buffer(), _U64), large(c.as_py(), w.as_buffer().size // 8)) for w, c in zip(table["words"], table["counts"], strict=True)]
     row = build_shard(found, table["doc_id"].to_pylist())
     return pa.table([pa.array([key[0].as_py()], pa.int32()), *(pa.array([x], pa.binary()) for x in row.values())], names=["shard", *row])
 
